@@ -2,24 +2,47 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import decontaminate, quality_rules
-from palimpsest.llm.common import table
+from palimpsest.llm import decontaminate, near_dedup, quality_rules, sharding, warc
+from palimpsest.llm.common import shared_folder, table
+
+
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    records = warc.read_archive(spark, path)
+    return records.select(records.record_id.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), 16)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_near_dedup": op3_near_dedup,
     "op4_decontaminate": op4_decontaminate,
+    "op5_warc": op5_warc,
+    "op8_sharding": op8_sharding,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {"op4_decontaminate": decontaminate.ORACLE, "op10_quality_rules": quality_rules.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontaminate": decontaminate.ORACLE,
+    "op5_warc": warc.ORACLE,
+    "op10_quality_rules": quality_rules.ORACLE,
+}
