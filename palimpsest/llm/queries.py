@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import decontaminate, near_dedup, quality_rules, sharding, warc
+from palimpsest.llm import decontaminate, html_text, near_dedup, packing, pii, quality_rules, sharding, warc
 from palimpsest.llm.common import shared_folder, table
 
 
@@ -26,10 +26,22 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(records.record_id.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 16)
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -38,7 +50,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dedup": op3_near_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_warc": op5_warc,
+    "op6_packing": op6_packing,
+    "op7_pii": op7_pii,
     "op8_sharding": op8_sharding,
+    "op9_html_text": op9_html_text,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
