@@ -1,10 +1,15 @@
-"""Corpus pipeline: the documents table through quality rules and decontamination."""
+"""Corpus pipeline: documents through quality rules, near-dedup, decontamination, masking and packing.
+
+Each stage reads what its predecessor wrote. The first four return the columns of documents, the
+last one the packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palimpsest.llm import common, decontaminate, quality_rules
+from palimpsest.llm import common, decontaminate, near_dedup, packing, pii, quality_rules
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -15,13 +20,35 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(verdict, "doc_id", "left_anti").select(COLUMNS)
 
 
+def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays: the one with the smallest doc_id."""
+    first = near_dedup.near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+
+
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     held = decontaminate.contaminated(docs, common.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(held, "doc_id", "left_anti").select(COLUMNS)
 
 
-STAGES = [("quality_rules", _quality), ("decontaminate", _decontaminate)]
+def _mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind in brackets; n_chars follows the new text."""
+    found = pii.find_pii(docs).where("size(spans) > 0").select("doc_id", "text_key", "spans").dropDuplicates(["doc_id", "text_key"])
+    keyed = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    masked = keyed.join(found, ["doc_id", "text_key"], "left").withColumn("masked", F.when(F.col("spans").isNull(), F.col("text")).otherwise(pii.mask("text", "spans")))
+    n_chars = F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("masked").cast("long"))
+    return masked.select("doc_id", F.col("masked").alias("text"), "lang", "source", n_chars.alias("n_chars"))
+
+
+def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left becomes sequences of at most 2048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", _quality), ("near_dedup", _near_dedup), ("decontaminate", _decontaminate), ("pii", _mask_pii), ("packing", _pack),
+]
 ORACLE_SQL = None
 
 

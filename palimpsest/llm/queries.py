@@ -7,10 +7,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import decontaminate, html_text, near_dedup, packing, pii, quality_rules, sharding, warc
+from palimpsest.llm import decontaminate, html_text, language, near_dedup, packing, pii, quality_net, quality_rules, sharding, warc
 from palimpsest.llm.common import shared_folder, table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_net.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -47,6 +55,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_language": op2_language,
     "op3_near_dedup": op3_near_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_warc": op5_warc,
