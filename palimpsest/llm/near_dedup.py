@@ -2,12 +2,17 @@
 
 Documents are classed by the connected components of "multiset Jaccard of five-word shingles is
 at least 0.8". 128 places in 32 bands of 4 rows find a pair at 0.8 with probability 1 - 5e-8.
-Candidates are verified with the exact overlap of the shingle multisets. No bucket is expanded
-into all its pairs: each bucket first links its members to the bucket's smallest id (a star);
-once those links are merged, only buckets that still hold several classes are looked at again,
-round by round, with the smallest member of each not yet compared class as the next centre, and
-what is left after `star_rounds` - buckets whose classes remain apart - is compared across
-classes completely, so no link between different texts that share a bucket is lost.
+Candidates are verified with the exact overlap of the shingle multisets.
+
+No bucket is expanded into its pairs, and yet no pair that shares a bucket is left undecided. The
+member with the most band mates is the bucket's centre; every member is compared exactly with the
+centre (a star), which links most of a group of copies. Two members X and Y that the star leaves
+in different classes are settled by their deviations from the same centre O, the symmetric
+differences Dx and Dy of the multisets: |X ^ Y| = |Dx| + |Dy| - 2 |Dx & Dy|, so a similarity of
+0.8 asks for at least t = (|Dx| + |Dy| - (|X| + |Y|) / 9) / 2 shared deviations, and t is positive
+whenever X or Y is not linked to O. Deviations ordered from rare to common, X and Y must meet in
+the first |D| - t + 1 of each; an equi-join on (centre, deviation) over these prefixes yields the
+few pairs left, which are verified exactly like the others.
 
 Defined results: equal texts are one class whatever they hold; null is an empty text; a text of
 fewer than five words is one shingle of all its words; texts without a word are linked to equal
@@ -52,35 +57,92 @@ def _sign(m: int, bands: int):
     return run
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact similarity of each pair; rows come grouped by a, whose multiset is kept meanwhile."""
-    kept: tuple[object, np.ndarray, np.ndarray] = (None, np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    for batch in batches:
-        for part, data, offsets in common.steps(batch, "text_b"):
-            value, owner, weight = multisets(data, offsets)
-            at = np.searchsorted(owner, np.arange(part.num_rows + 1))
-            a_ids, a_texts, out = part.column(0), part.column(2), np.zeros(part.num_rows)
-            for i in range(part.num_rows):
-                if kept[0] != a_ids[i].as_py():
-                    va, _, wa = multisets(*common.text_bytes(a_texts.slice(i, 1)))
-                    kept = (a_ids[i].as_py(), va, wa)
-                vb, wb = value[at[i] : at[i + 1]], weight[at[i] : at[i + 1]]
-                place = np.searchsorted(kept[1], vb)
-                place[place == len(kept[1])] = 0
-                same = kept[1][place] == vb if len(kept[1]) else np.zeros(len(vb), bool)
-                low = np.minimum(wb[same], kept[2][place[same]]).sum()
-                high = wb.sum() + kept[2].sum() - low
-                out[i] = low / high if high else 0.0
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out)], names=["a", "b", "similarity"])
-
-
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts reach the threshold."""
+def _unit_keys(value: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Keys of the units low + 1 .. high of each element: a multiset as a set of (element, copy)."""
+    n = high - low
+    copy = np.repeat(low, n) + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    key = np.repeat(value, n)
+    with np.errstate(over="ignore"):
+        return np.where(copy == 1, key, common.mix(key + copy.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
+def _compared(deviations: bool):
+    """Exact similarity of each pair (a, b), its sizes and, where asked for, the units in one of both only; a's multiset is kept while it stays the same."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, va, wa = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            for part, data, offsets in common.steps(batch, "text_b"):
+                value, owner, weight = multisets(data, offsets)
+                at = np.searchsorted(owner, np.arange(part.num_rows + 1))
+                a_ids, a_texts = part.column(0).to_pylist(), part.column(2)
+                similarity, sizes, units = np.zeros(part.num_rows), np.zeros((2, part.num_rows), np.int64), []
+                for i, a in enumerate(a_ids):
+                    if a != last:
+                        va, _, wa = multisets(*common.text_bytes(a_texts.slice(i, 1)))
+                        last = a
+                    vb, wb = value[at[i] : at[i + 1]], weight[at[i] : at[i + 1]]
+                    both, in_a, in_b = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
+                    shared = np.minimum(wa[in_a], wb[in_b])
+                    sizes[:, i] = wa.sum(), wb.sum()
+                    union = sizes[:, i].sum() - shared.sum()
+                    similarity[i] = shared.sum() / union if union else 0.0
+                    if deviations:
+                        keys = []
+                        for v, w, where in ((va, wa, in_a), (vb, wb, in_b)):
+                            low = np.zeros(len(v), np.int64)
+                            low[where] = shared
+                            keys.append(_unit_keys(v, low, w))
+                        units.append(np.concatenate(keys).view(np.int64))
+                columns = [part.column(0), part.column(1), pa.array(similarity), pa.array(sizes[0]), pa.array(sizes[1])]
+                names = ["a", "b", "similarity", "n_a", "n_b"]
+                if deviations:
+                    bounds = np.concatenate([[0], np.cumsum([len(u) for u in units])]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(units) if units else np.zeros(0, np.int64))))
+                    names.append("units")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
+def compared(pairs: DataFrame, texts: DataFrame, deviations: bool = False) -> DataFrame:
+    """The pairs (a, b) with their exact similarity, sizes and deviations."""
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(
         texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a"
     )
-    found = both.select("a", "b", "text_a", "text_b").mapInArrow(_overlaps, "a long, b long, similarity double")
-    return found.where(F.col("similarity") >= threshold).select("a", "b")
+    schema = "a long, b long, similarity double, n_a long, n_b long" + (", units array<long>" if deviations else "")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_compared(deviations), schema)
+
+
+def undecided(stars: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of members of one star that may be similar and are in different classes, by their deviations from the centre."""
+    q = (1 - threshold) / (1 + threshold)
+    member = stars.select(F.col("a").alias("centre"), F.col("b").alias("x"), "n_b", "n_a", (F.col("similarity") >= threshold).alias("linked"), "units")
+    member = member.join(classes.withColumnRenamed("id", "x"), "x", "left").withColumn("class_id", F.coalesce("class_id", "x")).withColumn("d", F.size("units"))
+    unit = member.select("centre", "x", F.explode("units").alias("unit"))
+    rarity = unit.groupBy("centre", "unit").agg(F.count("*").alias("df")).where("df > 1")
+    ordered = unit.join(rarity, ["centre", "unit"]).groupBy("centre", "x").agg(F.array_sort(F.collect_list(F.struct("df", "unit"))).alias("shared"))
+    at_least = lambda t: F.greatest(F.lit(1), F.ceil(t - 1e-9)).cast("int")
+    half = at_least((F.col("d") + (F.col("n_a") - F.col("n_b")) * q) / 2)
+    far = at_least(F.col("d") - F.col("n_b") * ((1 - threshold) / threshold))
+    known = common.written(
+        ordered.join(member.drop("units"), ["centre", "x"]).withColumn("m", F.size("shared"))
+        .select("centre", "x", "linked", "class_id", F.col("n_b").alias("n"), "d", "m", "shared", half.alias("half"), far.alias("far")),
+        "deviations",
+    )
+
+    def prefix(rows: DataFrame, t: str, side: str) -> DataFrame:
+        units = F.explode(F.expr(f"slice(shared, 1, greatest(m - {t} + 1, 0))")).alias("u")
+        rows = rows.select("centre", units, *[F.col(c).alias(f"{c}_{side}") for c in ("x", "class_id", "n", "d", "m")])
+        return rows.withColumn("unit", F.col("u.unit")).drop("u")
+
+    fits = (F.col("class_id_a") != F.col("class_id_b")) & (F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b"))
+    fits &= (F.col("d_a") + F.col("d_b") - (F.col("n_a") + F.col("n_b")) * q) / 2 <= F.least("m_a", "m_b") + F.lit(1e-9)
+    apart, linked = known.where(~F.col("linked")), known.where("linked")
+    one = prefix(apart, "far", "a").join(prefix(linked, "half", "b"), ["centre", "unit"]).where(fits)
+    two = prefix(apart, "half", "a").join(prefix(apart, "half", "b"), ["centre", "unit"]).where(fits & (F.col("x_a") < F.col("x_b")))
+    pairs = one.select("x_a", "x_b").union(two.select("x_a", "x_b"))
+    return pairs.select(F.least("x_a", "x_b").alias("a"), F.greatest("x_a", "x_b").alias("b")).distinct()
 
 
 def components(edges: DataFrame, name: str = "classes") -> DataFrame:
@@ -105,54 +167,30 @@ def components(edges: DataFrame, name: str = "classes") -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 32, band_rows: int = 4, star_rounds: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 32, band_rows: int = 4
 ) -> DataFrame:
     """One row per document row: its id and class_id."""
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = common.written(plain.mapInArrow(_sign(bands * band_rows, bands), "id long, text_key binary, n long, bands array<long>"), "signed")
-    distinct = common.written(
-        signed.groupBy("text_key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "distinct"
-    )
-    rows = distinct.select(F.explode("bands").alias("key"), "rep", "n")
-    hot = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    buckets = common.written(rows.join(hot, "key"), "buckets")
-    held = common.written(plain.join(buckets.select(F.col("rep").alias("id")).distinct(), "id").dropDuplicates(["id"]), "bucket-texts")
-
-    labels = None  # (id, class_id) of linked representatives so far
-    edges = None
-    tested = None
-    fits = F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b")
-    open_rows = buckets.withColumn("class_id", F.col("rep"))
-    for turn in range(star_rounds + 1):
-        if turn < star_rounds:
-            # the turn-th smallest class of a bucket is its centre: it is compared with the members of all other classes
-            classes = open_rows.groupBy("key", "class_id").agg(F.min(F.struct("rep", "n")).alias("centre"))
-            centres = classes.groupBy("key").agg(F.min(F.struct(F.xxhash64("class_id", F.lit(turn)), "class_id", "centre")).alias("c")) if turn else classes.groupBy(
-                "key"
-            ).agg(F.min(F.struct(F.lit(0).cast("long"), "class_id", "centre")).alias("c"))
-            centres = centres.select("key", F.col("c.class_id").alias("class_a"), F.col("c.centre.rep").alias("a"), F.col("c.centre.n").alias("n_a"))
-            pairs = open_rows.join(centres, "key").where("class_id <> class_a").withColumnRenamed("rep", "b").withColumnRenamed("n", "n_b")
-        else:
-            left = open_rows.select("key", F.col("class_id").alias("class_a"), F.col("rep").alias("a"), F.col("n").alias("n_a"))
-            right = open_rows.select("key", F.col("class_id").alias("class_b"), F.col("rep").alias("b"), F.col("n").alias("n_b"))
-            pairs = left.join(right, "key").where("a < b AND class_a <> class_b")
-        pairs = pairs.where(fits).select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = common.written(pairs, "pairs")
-        linked = common.written(verified(pairs, held, threshold), "links")
-        edges = linked if edges is None else edges.unionByName(linked)
-        both_ways = pairs.union(pairs.select(F.col("b"), F.col("a")))
-        tested = both_ways if tested is None else tested.unionByName(both_ways)
-        labels = components(edges)
-        if turn == star_rounds:
-            break
-        now = buckets.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("class_id", F.coalesce("class_id", "rep"))
-        mixed = now.groupBy("key").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).where("x <> y").select("key")
-        open_rows = common.written(now.join(mixed, "key").select("key", "rep", "n", "class_id"), "open-buckets")
-        if not open_rows.limit(1).count():
-            break
-
-    classes = distinct.select("text_key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    classes = classes.select("text_key", F.coalesce("class_id", "rep").alias("class_id"))
-    return signed.select("id", "text_key").join(classes, "text_key").select(F.col("id").alias(id_col), "class_id")
+    distinct = common.written(signed.groupBy("text_key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "distinct")
+
+    rows = distinct.select(F.explode("bands").alias("key"), "rep")
+    shared = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    buckets = common.written(rows.join(shared, "key"), "buckets")
+    mates = common.written(buckets.groupBy("rep").agg(F.sum("members").alias("mates")), "mates")
+    ranked = buckets.join(mates, "rep")
+    centres = ranked.groupBy("key").agg(F.min(F.struct((-F.col("mates")).alias("mates"), "rep")).alias("c")).select("key", F.col("c.rep").alias("a"))
+    pairs = buckets.join(centres, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    held = common.written(plain.join(mates.select(F.col("rep").alias("id")), "id").dropDuplicates(["id"]), "bucket-texts")
+
+    stars = common.written(compared(pairs, held, deviations=True), "stars")
+    linked = F.col("similarity") >= threshold
+    labels = components(stars.where(linked).select("a", "b"))
+    more = common.written(compared(undecided(stars, labels, threshold), held).where(linked).select("a", "b"), "links")
+    own = distinct.select("text_key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("text_key", "rep", F.coalesce("class_id", "rep").alias("class_id"))
+    if more.limit(1).count():
+        of = own.select("rep", "class_id")
+        merged = more.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        final = components(merged).toDF("class_id", "merged_id")
+        own = own.join(final, "class_id", "left").select("text_key", "rep", F.coalesce("merged_id", "class_id").alias("class_id"))
+    return signed.select("id", "text_key").join(own.select("text_key", "class_id"), "text_key").select(F.col("id").alias(id_col), "class_id")
