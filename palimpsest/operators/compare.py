@@ -39,14 +39,26 @@ def same_value(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).when(boolean, (kind(va) == kind(vb)) & plain).when(na.isNotNull() & nb.isNotNull(), na.eqNullSafe(nb)).otherwise(plain)
 
 
-def explain_difference(original: Column, migrated: Column) -> Column:
-    """Category of one differing value: type, missing, numeric, boolean, string or other."""
-    a, b = original.try_cast("double"), migrated.try_cast("double")
-    truth = lambda c: F.lower(c).isin("true", "false")
-    return (
-        F.when(original.isNull() | migrated.isNull(), "missing_value").when(truth(original) & truth(migrated), "boolean_change").when(a.isNotNull() & b.isNotNull(), "numeric_change")
-        .when(a.isNotNull() != b.isNotNull(), "type_change").when(F.lower(F.trim(original)) == F.lower(F.trim(migrated)), "format_change").otherwise("string_change")
+# Category of a difference by the field it is in; return values are looked at more closely.
+FIELD_CATEGORIES = {
+    "status": "execution_status_change", "exception_type": "exception_type_change", "exception_message": "exception_message_change", "stdout": "stdout_change",
+}
+
+
+def explain_difference(field: Column, original: Column, migrated: Column) -> Column:
+    """Category of one difference; return values are JSON texts (a tagged object has __type__ and attributes)."""
+    a, b = F.try_parse_json(original), F.try_parse_json(migrated)
+    ka, kb = F.schema_of_variant(a), F.schema_of_variant(b)
+    tagged = lambda v: F.variant_get(v, "$.__type__", "string").isNotNull() & F.to_json(v).contains('"attributes"')
+    number = lambda k: k.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    nested = lambda k: k.startswith("ARRAY") | k.startswith("OBJECT")
+    obj = ka.startswith("OBJECT") & kb.startswith("OBJECT")
+    value = (
+        F.when(obj & F.when(obj, tagged(a) & tagged(b)), "object_state_change").when(number(ka) & number(kb), "numeric_value_change").when((ka == "STRING") & (kb == "STRING"), "string_value_change")
+        .when(nested(ka) | nested(kb), "collection_value_change").otherwise("value_change")
     )
+    other = F.create_map(*[F.lit(x) for pair in FIELD_CATEGORIES.items() for x in pair])[field]
+    return F.when(field == "return_value", value).otherwise(F.coalesce(other, F.lit("execution_difference")))
 
 
 def numeric_delta(original: Column, migrated: Column) -> Column:
@@ -78,15 +90,15 @@ def risk(test_failed: Column, rate: Column, n_differences: Column, anomaly: Colu
     )
 
 
-def risk_reasons(test_failed: Column, rate: Column, n_differences: Column, anomaly: Column) -> Column:
+def risk_reasons(test_failed: Column, rate: Column, n_differences: Column, dependents: Column) -> Column:
     given = F.filter(
         F.array(
-            F.when(test_failed, F.lit("existing tests fail")), F.when(rate >= 0.5, F.lit("half or more of the cases differ")), F.when(n_differences > 0, F.lit("behaviour differs")),
-            F.when(anomaly < 0, F.lit("unusual structure")),
+            F.when(n_differences > 0, F.lit("Semantic differences detected")), F.when(test_failed, F.lit("Existing tests failed")),
+            F.when(dependents > 0, F.lit("File has dependent modules")), F.when(rate >= 0.5, F.lit("High semantic difference rate")),
         ),
         lambda x: x.isNotNull(),
     )
-    return F.when(F.size(given) > 0, given).otherwise(F.array(F.lit("no risk signal")))
+    return F.when(F.size(given) > 0, given).otherwise(F.array(F.lit("No major verification issues detected")))
 
 
 def _path_constant(n: float) -> float:

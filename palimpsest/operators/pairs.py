@@ -8,12 +8,13 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from palimpsest.functions import rules
 
 
-@pandas_udf("boolean")
+@pandas_udf(T.BooleanType())
 def parses_as_py3(code: pd.Series) -> pd.Series:
     def ok(x: str | None) -> bool:
         try:
@@ -25,7 +26,7 @@ def parses_as_py3(code: pd.Series) -> pd.Series:
     return code.map(ok)
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks, to three places as Python rounds."""
     return pd.Series([round(difflib.SequenceMatcher(None, x or "", y or "").ratio(), 3) for x, y in zip(a, b, strict=True)])
@@ -93,6 +94,10 @@ def deterministic_id(prefix: str, *fields: Column) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *text).cast("binary"), 256), 1, 16))
 
 
+#: Fixed value: prefix of the ids of mined pairs.
+ID_PREFIX = "github_py23_"
+
+
 def enriched(pairs: DataFrame) -> DataFrame:
     """Retrieval-ready columns; what is unknown is null, never guessed."""
     repo, path, sha = F.col("repo"), F.col("file_path"), F.col("base_sha")
@@ -104,11 +109,11 @@ def enriched(pairs: DataFrame) -> DataFrame:
     )
     return pairs.select(
         "*",
-        deterministic_id("mig_", repo, F.col("pr_number"), path, name, sha, F.col("head_sha")).alias("id"),
-        F.when(F.instr(repo, "/") > 0, F.regexp_extract(repo, "^[^/]*/(.*)$", 1)).otherwise(given(repo)).alias("project_name"),
+        deterministic_id(ID_PREFIX, repo, F.col("pr_number"), path, name, sha, F.col("head_sha")).alias("id"),
+        F.when(F.instr(repo, "/") > 0, F.regexp_extract(repo, "^[^/]*/(.*)$", 1)).alias("project_name"),
         url.alias("repo_url"),
         F.concat(url, F.lit("/blob/"), given(sha), F.lit("/"), given(path)).alias("source_url"),
-        F.concat(url, F.lit("/pull/"), F.col("pr_number").cast("string")).alias("pr_url"),
+        F.concat(url, F.lit("/blob/"), given(F.col("head_sha")), F.lit("/"), given(path)).alias("target_url"),
         F.when(F.instr(name, ".") > 0, F.regexp_extract(name, r"^(.+)\.[^.]*$", 1)).alias("class_name"),
         F.when(F.size(context) > 0, context).alias("context"),
     )

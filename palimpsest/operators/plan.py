@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from palimpsest.functions.paths import file_name
 
 
+# Texts of plans and manifests.
+PRESERVE_REASONS = (
+    "Already compatible with the target Python version.",
+    "Required by one or more migrated production files and preserved unchanged because it does not require automatic migration.",
+)
+SKIP_REASONS = ("Python 2 file.", "Already compatible with Python 3.", "Python version is ambiguous; requires manual review.")
+AUTOMATIC = "AUTOMATIC_NON_MIGRATED_FILE"
+
+
 def triage(files: DataFrame, edges: DataFrame) -> DataFrame:
     """files(file, version, is_test) with decision MIGRATE, PRESERVE or SKIP and reason."""
     production = ~F.col("is_test")
@@ -15,10 +24,9 @@ def triage(files: DataFrame, edges: DataFrame) -> DataFrame:
     needed = edges.join(files.where(migrate).select(F.col("file").alias("source")), "source", "left_semi").select(F.col("target").alias("file")).distinct().withColumn("needed", F.lit(True))
     out = files.join(needed, "file", "left").withColumn("needed", F.coalesce("needed", F.lit(False)))
     decision = F.when(migrate, "MIGRATE").when(production & ((F.col("version") == "Python 3") | F.col("needed")), "PRESERVE").otherwise("SKIP")
-    reason = (
-        F.when(F.col("is_test"), "test file").when(migrate, "Python 2 source").when(F.col("needed"), "required by a migrated file")
-        .when(F.col("version") == "Python 3", "already Python 3").otherwise("version unclear")
-    )
+    preserved = F.when(F.col("version") == "Python 3", PRESERVE_REASONS[0]).otherwise(PRESERVE_REASONS[1])
+    skipped = F.when(F.col("version") == "Python 2", SKIP_REASONS[0]).when(F.col("version") == "Python 3", SKIP_REASONS[1]).otherwise(SKIP_REASONS[2])
+    reason = F.when(decision == "PRESERVE", preserved).when(decision == "SKIP", skipped)
     return out.withColumn("decision", decision).withColumn("reason", reason)
 
 
@@ -88,7 +96,7 @@ def assemble(files: DataFrame, plan: DataFrame, outputs: DataFrame) -> DataFrame
         "file", decision.alias("decision"),
         F.when((decision == "MIGRATE") & made, "LLM").when(decision != "SKIP", "ORIGINAL").alias("source"),
         F.when(decision == "SKIP", "SKIPPED").when((decision == "MIGRATE") & ~made, "FAILED").otherwise("SUCCESS").alias("status"),
-        F.when(F.col("planned").isNull(), "not in the plan").when((decision == "MIGRATE") & ~made, "no migrated output").alias("reason"),
+        F.when(F.col("planned").isNull(), AUTOMATIC).when((decision == "MIGRATE") & ~made, "no migrated output").alias("reason"),
     )
 
 
@@ -100,7 +108,7 @@ def assembly_statistics(assembled: DataFrame) -> DataFrame:
     d, s = F.col("decision"), F.col("status")
     out = assembled.agg(
         F.count("*").alias("n_files"), F.count_if((d == "MIGRATE") & (s == "SUCCESS")).alias("n_migrated"), F.count_if(d == "PRESERVE").alias("n_preserved"),
-        F.count_if(F.col("reason") == "not in the plan").alias("n_automatic"), F.count_if(d == "SKIP").alias("n_skipped"), F.count_if(s == "FAILED").alias("n_failed"),
+        F.count_if(F.col("reason") == AUTOMATIC).alias("n_automatic"), F.count_if(d == "SKIP").alias("n_skipped"), F.count_if(s == "FAILED").alias("n_failed"),
     )
     return out.withColumn("final_status", F.when(F.col("n_failed") > 0, "FAILED").otherwise("SUCCESS"))
 

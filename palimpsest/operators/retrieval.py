@@ -216,4 +216,4 @@ def explanation(reply: Column) -> Column:
 
 
 def retryable(message: Column) -> Column:
-    return F.coalesce(message.rlike(r"503|UNAVAILABLE|429|RESOURCE_EXHAUSTED|timeout|overloaded"), F.lit(False))
+    return F.coalesce(message.rlike("503|UNAVAILABLE|429|RESOURCE_EXHAUSTED|500|INTERNAL"), F.lit(False))

@@ -51,11 +51,11 @@ def compare_results(spark, d):
     return _compared(spark, d).select("o_orderkey", F.array_join("differences.field", ",").alias("fields"), "equivalent")
 
 
-@query(f"""WITH {_SIDES} SELECT o_orderkey, CASE WHEN r2 = 'x' THEN 'type_change' ELSE 'numeric_change' END AS category, CASE WHEN r2 <> 'x' THEN CAST(r2 AS DOUBLE) - CAST(r1 AS DOUBLE) END AS delta FROM cmp WHERE r1 <> r2""")
+@query(f"""WITH {_SIDES} SELECT o_orderkey, CASE WHEN r2 = 'x' THEN 'value_change' ELSE 'numeric_value_change' END AS category, CASE WHEN r2 <> 'x' THEN CAST(r2 AS DOUBLE) - CAST(r1 AS DOUBLE) END AS delta FROM cmp WHERE r1 <> r2""")
 def diff_explain(spark, d):
     rows = _compared(spark, d).select("o_orderkey", F.explode("differences").alias("x")).where("x.field = 'return_value'")
     a, b = F.col("x.original"), F.col("x.migrated")
-    return rows.select("o_orderkey", C.explain_difference(a, b).alias("category"), C.numeric_delta(a, b).alias("delta"))
+    return rows.select("o_orderkey", C.explain_difference(F.col("x.field"), a, F.when(b == "x", F.lit('"x"')).otherwise(b)).alias("category"), C.numeric_delta(a, b).alias("delta"))
 
 
 def _behaviour(spark, d):
@@ -90,9 +90,9 @@ def risk_label(spark, d):
     return _risk_inputs(spark, d).select("c_custkey", C.risk(F.col("failed"), F.col("rate"), F.col("n"), F.col("anomaly")).alias("risk"))
 
 
-@query(f"WITH {_RISKS} SELECT c_custkey, coalesce(nullif(concat_ws('; ', CASE WHEN failed THEN 'existing tests fail' END, CASE WHEN rate >= 0.5 THEN 'half or more of the cases differ' END, CASE WHEN n > 0 THEN 'behaviour differs' END, CASE WHEN anomaly < 0 THEN 'unusual structure' END), ''), 'no risk signal') AS reasons FROM r")
+@query(f"WITH {_RISKS} SELECT c_custkey, coalesce(nullif(concat_ws('; ', CASE WHEN n > 0 THEN 'Semantic differences detected' END, CASE WHEN failed THEN 'Existing tests failed' END, CASE WHEN c_custkey % 4 > 0 THEN 'File has dependent modules' END, CASE WHEN rate >= 0.5 THEN 'High semantic difference rate' END), ''), 'No major verification issues detected') AS reasons FROM r")
 def risk_reasons(spark, d):
-    return _risk_inputs(spark, d).select("c_custkey", F.array_join(C.risk_reasons(F.col("failed"), F.col("rate"), F.col("n"), F.col("anomaly")), "; ").alias("reasons"))
+    return _risk_inputs(spark, d).select("c_custkey", F.array_join(C.risk_reasons(F.col("failed"), F.col("rate"), F.col("n"), F.col("c_custkey") % 4), "; ").alias("reasons"))
 
 
 @query()

@@ -183,7 +183,7 @@ def explanation(spark, d):
     return _replies(spark, d).select("conv_id", "turn", R.explanation(F.col("reply")).alias("explanation"))
 
 
-@query("SELECT event_id, regexp_matches(event_type || ' ' || CAST(event_id AS VARCHAR), '503|UNAVAILABLE|429|RESOURCE_EXHAUSTED|timeout|overloaded') AS retry FROM events")
+@query("SELECT event_id, regexp_matches(event_type || ' ' || CAST(event_id AS VARCHAR), '503|UNAVAILABLE|429|RESOURCE_EXHAUSTED|500|INTERNAL') AS retry FROM events")
 def retryable_errors(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     return e.select("event_id", R.retryable(F.concat_ws(" ", "event_type", F.col("event_id").cast("string"))).alias("retry"))

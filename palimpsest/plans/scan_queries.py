@@ -174,8 +174,8 @@ def deterministic_id(spark, d):
 
 @query(
     f"""WITH {corpus.PAIRS_SQL}, r AS (SELECT doc_id, 'org/' || repo AS repo, doc_id % 1000 AS pr_number, 'src/m' || CAST(doc_id AS VARCHAR) || '.py' AS file_path, CASE WHEN doc_id % 2 = 0 THEN 'C.' || function_name ELSE function_name END AS function_name, CASE WHEN doc_id % 3 > 0 THEN 'a1b2' END AS base_sha FROM pairs)
-SELECT doc_id, 'mig_' || substr(sha256(concat_ws('|', repo, CAST(pr_number AS VARCHAR), file_path, function_name, coalesce(base_sha, ''), 'ff00')), 1, 16) AS id, split_part(repo, '/', 2) AS project_name, 'https://github.com/' || repo AS repo_url,
- 'https://github.com/' || repo || '/blob/' || base_sha || '/' || file_path AS source_url, 'https://github.com/' || repo || '/pull/' || CAST(pr_number AS VARCHAR) AS pr_url, CASE WHEN function_name LIKE 'C.%' THEN 'C' END AS class_name FROM r"""
+SELECT doc_id, 'github_py23_' || substr(sha256(concat_ws('|', repo, CAST(pr_number AS VARCHAR), file_path, function_name, coalesce(base_sha, ''), 'ff00')), 1, 16) AS id, split_part(repo, '/', 2) AS project_name, 'https://github.com/' || repo AS repo_url,
+ 'https://github.com/' || repo || '/blob/' || base_sha || '/' || file_path AS source_url, 'https://github.com/' || repo || '/blob/ff00/' || file_path AS target_url, CASE WHEN function_name LIKE 'C.%' THEN 'C' END AS class_name FROM r"""
 )
 def enrich_record(spark, d):
     p = corpus.pairs(spark, d)
@@ -184,7 +184,7 @@ def enrich_record(spark, d):
         "doc_id", F.concat(F.lit("org/"), "repo").alias("repo"), F.pmod(doc, F.lit(1000)).alias("pr_number"), F.concat(F.lit("src/m"), doc.cast("string"), F.lit(".py")).alias("file_path"),
         F.when(doc % 2 == 0, F.concat(F.lit("C."), "function_name")).otherwise(F.col("function_name")).alias("function_name"), F.when(doc % 3 > 0, "a1b2").alias("base_sha"), F.lit("ff00").alias("head_sha"),
     )
-    return P.enriched(rows).select("doc_id", "id", "project_name", "repo_url", "source_url", "pr_url", "class_name")
+    return P.enriched(rows).select("doc_id", "id", "project_name", "repo_url", "source_url", "target_url", "class_name")
 
 
 @query("SELECT quality AS label, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM labels), 1) AS percent FROM labels GROUP BY quality")
