@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import rules
+from palimpsest.functions.lineage import cut
 from palimpsest.functions.paths import is_test
 from palimpsest.operators import graph as G
 from palimpsest.operators import plan as M
@@ -67,6 +68,12 @@ def _plan(spark, d) -> DataFrame:
     return M.triage(_units(spark, d), _edges(spark, d))
 
 
+def _plan_and_edges(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The plan and the edges it rests on, which are made once and kept."""
+    e = cut(_edges(spark, d))
+    return cut(M.triage(_units(spark, d), e)), e
+
+
 @query(f"WITH {corpus.FILES_SQL} SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(content, '(?m)^\\s*(?:import|from)\\s+([A-Za-z_][\\w.]*)', 1), lambda x: lower(x)))), ',') AS modules FROM files")
 def import_set(spark, d):
     return corpus.files(spark, d).select("doc_id", F.array_join(F.array_sort(G.import_names(F.col("content"))), ",").alias("modules"))
@@ -170,7 +177,8 @@ def plan_triage(spark, d):
 
 @query(f"WITH {_BASE} SELECT DISTINCT target AS file FROM edges JOIN plan ON plan.file = edges.source WHERE decision = 'MIGRATE'")
 def required_semi(spark, d):
-    return M.required_by(_edges(spark, d), _plan(spark, d).where("decision = 'MIGRATE'"))
+    p, e = _plan_and_edges(spark, d)
+    return M.required_by(e, p.where("decision = 'MIGRATE'"))
 
 
 _RISK = f"""{_BASE}, ee AS (SELECT DISTINCT source, target, type, name FROM edges),
@@ -179,8 +187,8 @@ tests AS (SELECT file FROM vers WHERE is_test), rel AS (SELECT DISTINCT p.file,
 
 @query(f"WITH {_RISK} SELECT file, test FROM rel")
 def related_tests_theta(spark, d):
-    p = _plan(spark, d)
-    return M.related_tests(p.where("decision = 'MIGRATE'"), p.where("is_test"), _edges(spark, d))
+    p, e = _plan_and_edges(spark, d)
+    return M.related_tests(p.where("decision = 'MIGRATE'"), p.where("is_test"), e)
 
 
 @query(
@@ -189,7 +197,8 @@ def related_tests_theta(spark, d):
 SELECT file, CAST(score AS BIGINT) AS risk_score, CASE WHEN score >= 70 THEN 'high' WHEN score >= 35 THEN 'medium' ELSE 'low' END AS risk FROM s"""
 )
 def plan_risk(spark, d):
-    e, p = _edges(spark, d).select("source", "target", "type", "name").distinct(), _plan(spark, d)
+    p, e = _plan_and_edges(spark, d)
+    e = e.select("source", "target", "type", "name").distinct()
     units = p.where("decision = 'MIGRATE'")
     tested = M.related_tests(units, p.where("is_test"), e).select("file").distinct().withColumn("tested", F.lit(True))
     u = units.join(G.degrees(e), "file", "left").join(tested, "file", "left").na.fill(0, ["n_targets", "n_sources", "n_edges_in"])
