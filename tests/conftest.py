@@ -38,7 +38,7 @@ def table_of(frame) -> list[tuple]:
     """Rows in a comparable form: columns by name, rows sorted, floats to nine digits."""
 
     def plain(v):
-        if v is None or v != v or str(v) in ("<NA>", "NaT"):
+        if v is None or str(v) in ("<NA>", "NaT", "nan"):
             return "null"
         return f"{v:.9g}" if isinstance(v, float) else str(v)
 
