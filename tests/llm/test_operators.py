@@ -388,7 +388,8 @@ def test_quality_counts_against_brute_force(spark):
 
 def test_frequent_lines_deplete(spark):
     line = " ".join(f"legal{k}" for k in range(60))
-    own = lambda i, n: " ".join(f"own{i}x{k}" for k in range(n))
+    name = lambda x: "".join(chr(97 + int(c)) for c in str(x))  # noqa: E731  digits of lines are zeroed, so letters tell them apart
+    own = lambda i, n: " ".join(f"own{name(i)}x{name(k)}" for k in range(n))
     rows = [(i, f"{line}\n{own(i, 60)}", "h") for i in range(60)] + [(100, f"{line}\n{own(100, 3)}", "h"), (101, f"{line}\n{own(101, 3)}", "other")] + [(200 + i, own(7, 70), "h") for i in range(50)]
     got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got[100].removed_words == 60 and not got[100].kept and got[101].kept  # counts are by host
