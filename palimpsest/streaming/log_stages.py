@@ -20,7 +20,7 @@ STAGE_TITLES = {
     "1. REPOSITORY SCANNING": "scan", "2. PYTHON VERSION DETECTION": "version", "3. MIGRATION JOB SELECTION": "selection", "4. CODE EXTRACTION / STATIC FEATURES": "extraction",
     "5. CODEBERT EMBEDDINGS": "embeddings", "6. DEPENDENCY GRAPH": "dependency", "7. MIGRATION PLANNING": "planning", "8. REPOSITORY CONTEXT": "context",
     "9. RAG MIGRATION KNOWLEDGE RETRIEVAL": "rag", "10. FINAL LLM PROMPTS": "prompt", "LLM MIGRATION ENGINE": "llm", "REPOSITORY ASSEMBLY": "assembly",
-    "CODEMIGRATE - SYNTAX VERIFICATION": "syntax", "CODEMIGRATE - IMPORT & DEPENDENCY VERIFICATION": "dependency_verification",
+    " - SYNTAX VERIFICATION": "syntax", " - IMPORT & DEPENDENCY VERIFICATION": "dependency_verification",
     "STAGE 5 - DIFFERENTIAL / SEMANTIC VERIFICATION": "differential_testing", "STAGE 6 - MIGRATION RISK PREDICTION": "risk_analysis",
 }
 RESULT_TITLES = {
@@ -45,7 +45,8 @@ def advance(status: dict[str, str], line: str) -> None:
             if hit:
                 status[hit] = state
                 return
-    started = next((s for t, s in STAGE_TITLES.items() if t in line), None)
+    numbered = any(t in line for t in list(RESULT_TITLES)[:2])  # "STAGE 3 - ..." reports on a stage, any other prefix starts it
+    started = next((s for t, s in STAGE_TITLES.items() if t in line and not (numbered and t.startswith(" - "))), None)
     if started:
         for earlier in STAGES[: STAGES.index(started)]:
             if status.get(earlier) != "failed":

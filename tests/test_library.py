@@ -18,6 +18,7 @@ from palimpsest.operators import graph as G
 from palimpsest.operators import pairs as P
 from palimpsest.operators import parse as A
 from palimpsest.operators import plan as M
+from palimpsest.operators import reports as Z
 from palimpsest.operators import retrieval as R
 from palimpsest.operators import scan as S
 from palimpsest.sources import readers, writers
@@ -267,3 +268,20 @@ def test_text_helpers(spark):
     assert one(spark, A.tests_run(F.lit("Ran 1 test\nRan 12 tests in 1s"))) == 12
     assert one(spark, X.version_label(F.lit("Python"), F.lit("Python 2"))) == "Python 2"
     assert one(spark, rules.hits(F.lit(None).cast("string"), rules.PY2_VOTES)) == []
+
+
+def test_reports(spark):
+    f = spark.createDataFrame([("a",), ("b",), ("c",)], "file string")
+    symbols = spark.createDataFrame([("a", "function", "x", 1), ("a", "class", "y", 2)], "file string, type string, name string, line int")
+    edges = spark.createDataFrame([("b", "a"), ("c", "a")], "source string, target string")
+    results = spark.createDataFrame([("a", True, "k"), ("b", False, "k"), ("b", False, "k"), ("b", True, "k")], "file string, equivalent boolean, key string")
+    failed = spark.createDataFrame([("c",)], "file string")
+    got = {r.file: r for r in Z.risk_report(f, symbols, edges, results, failed, keep_quirk=False).collect()}
+    assert got["a"].dependent_count == 2 and got["a"].reasons == ["File has dependent modules"] and got["c"].risk == "HIGH"
+    assert got["b"].risk == "HIGH" and got["b"].unique_semantic_differences == 1 and got["b"].reasons == ["Semantic differences detected", "High semantic difference rate"]
+    assert {r.dependent_count for r in Z.risk_report(f, symbols, edges, results, failed).collect()} == {0}
+    assert one(spark, Z.without_null_words(F.lit('["None", {"a": "null"}, "nullx"]'))) == '[null, {"a": null}, "nullx"]'
+    assert one(spark, Z.changed_keys(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")), F.create_map(F.lit("a"), F.lit("1"), F.lit("c"), F.lit("3")))) == ["b", "c"]
+    assert one(spark, Z.percent(F.lit(1), F.lit(3))) == "33.3%" and one(spark, Z.title(F.lit("risk_analysis x"))) == "Risk Analysis X"
+    e = Z.evidence(spark.createDataFrame([("a", ["xrange"])], "file string, reasons array<string>"), f.where("file = 'z'"), results, spark.createDataFrame([("a", "LOW")], "file string, risk string"))
+    assert e.first().evidence == ["issues: xrange", "cases equal: 1/1", "risk: low"]
