@@ -11,6 +11,8 @@ inside, the Jaccard similarity is at least 0.16, and all 96 minima miss with pro
 whole document. Items are the stated query set: they go to the executors in blocks of at most
 `block_items`, whose size is bounded by that parameter; documents never move.
 
+Words are compared in lower case, so an item in capitals is still found.
+
 Defined results: null or empty texts match nothing, items without a word match nothing, an item
 of fewer than five words is one shingle of all its words, repeated rows give repeated results,
 an empty table gives an empty result, columns other than id and text are ignored.
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +38,7 @@ class ItemBlock:
 
     def __init__(self, items: list[tuple[int, str]], hashes: int, growth: float = 1.5) -> None:
         self.seeds = common.mix(np.arange(1, hashes + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-        batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in items], pa.string())], names=["text"])
-        data, offsets = common.text_bytes(batch.column(0))
+        data, offsets = common.text_bytes(pc.utf8_lower(pa.array([t for _, t in items], pa.string())))
         starts, ends, rows = common.words(data, offsets)
         value, owner = common.shingles(common.span_hashes(data, starts, ends), rows)
         value, owner, _ = common.weighted_sets(value, owner)
@@ -84,7 +86,8 @@ def _search(block_of, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: ItemBlock = block_of.value
         for batch in batches:
-            for part, data, offsets in common.steps(batch):
+            folded = pa.RecordBatch.from_arrays([batch.column(0), pc.utf8_lower(batch.column(1))], names=["id", "text"])
+            for part, data, offsets in common.steps(folded):
                 starts, ends, rows = common.words(data, offsets)
                 value, owner = common.shingles(common.span_hashes(data, starts, ends), rows)
                 out = []
@@ -130,10 +133,10 @@ def contaminated(
 
 
 ORACLE = """
-WITH b AS (SELECT item_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark),
+WITH b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark),
 bs AS (SELECT DISTINCT item_id, CASE WHEN len(w) < 5 THEN w ELSE w[i : i + 4] END AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
 bn AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY 1),
-d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 ds AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN w ELSE w[i : i + 4] END AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
 m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GROUP BY 1, 2)
 SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM m JOIN bn USING (item_id) WHERE n_shared >= 0.8 * n_item

@@ -14,7 +14,7 @@ from palimpsest.llm import common, quality_rules
 def test_stages(spark):
     docs = common.table(spark, SMALL, "documents")
     before = [tuple(r) for r in docs.collect()]
-    items = {r.item_id: set(shingle_bag(r.text)) for r in common.table(spark, SMALL, "benchmark").collect()}
+    items = {r.item_id: set(shingle_bag(r.text.lower())) for r in common.table(spark, SMALL, "benchmark").collect()}
     for name, stage in cp.STAGES:
         out = common.written(stage(spark, docs, SMALL), "stage")
         after = [tuple(r) for r in out.collect()]
@@ -34,7 +34,7 @@ def test_stages(spark):
             classes = classes_by_brute_force([(r[0], r[1]) for r in before])
             assert sorted(after) == sorted(r for r in before if classes[r[0]] == r[0])
         elif name == "decontaminate":
-            held = {i for i, t in texts.items() if any(len(s & set(shingle_bag(t))) >= 0.8 * len(s) for s in items.values() if s)}
+            held = {i for i, t in texts.items() if any(len(s & set(shingle_bag(t.lower()))) >= 0.8 * len(s) for s in items.values() if s)}
             assert sorted(after) == sorted(r for r in before if r[0] not in held)
         elif name == "pii":
             for r in after:
