@@ -17,25 +17,25 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     verdict = quality_rules.quality_rules(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(verdict, "doc_id", "left_anti").select(COLUMNS)
+    return docs.select(COLUMNS).join(verdict, "doc_id", "left_anti").select(COLUMNS)
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays: the one with the smallest doc_id."""
     first = near_dedup.near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+    return docs.select(COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
 
 
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     held = decontaminate.contaminated(docs, common.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(held, "doc_id", "left_anti").select(COLUMNS)
+    return docs.select(COLUMNS).join(held, "doc_id", "left_anti").select(COLUMNS)
 
 
 def _mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind in brackets; n_chars follows the new text."""
     found = pii.find_pii(docs).where("size(spans) > 0").select("doc_id", "text_key", "spans").dropDuplicates(["doc_id", "text_key"])
-    keyed = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = docs.select(COLUMNS).withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     masked = keyed.join(found, ["doc_id", "text_key"], "left").withColumn("masked", F.when(F.col("spans").isNull(), F.col("text")).otherwise(pii.mask("text", "spans")))
     n_chars = F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("masked").cast("long"))
     return masked.select("doc_id", F.col("masked").alias("text"), "lang", "source", n_chars.alias("n_chars"))
