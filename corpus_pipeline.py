@@ -15,9 +15,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    verdict = quality_rules.quality_rules(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(verdict, "doc_id", "left_anti").select(COLUMNS)
+    """Documents that the quality rules reject go; the others lose their frequent lines, and n_chars follows."""
+    return quality_rules.cleaned(docs.select(COLUMNS))
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,10 +4,12 @@ A line (split at "\\n") is normalised - ASCII letters folded, digits zeroed, whi
 collapsed - and hashed. For each host the number of *distinct texts* that hold a line is
 counted, so exact copies of one document never make its lines look like boilerplate. Lines
 held by at least `min_docs` texts and `max_share` of the host's texts are removed; a document
-left with less than `keep_share` of its words is depleted and rejected.
+left with less than `keep_share` of its words is depleted and rejected. quality_rules() tells
+what it found of each document, cleaned() yields the documents that stay without those lines.
 
 Defined results: null text is an empty text; empty texts have no words and fail the base rule;
-null hosts form one host of their own; repeated rows give repeated results; columns other than
+null hosts form one host of their own; rows of null id are rows like any other, known by their
+text; repeated rows give repeated results; columns other than
 the named three are ignored; an empty table gives an empty result.
 """
 
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import common
@@ -26,6 +28,7 @@ FEATURES = (
     "id long, host string, text_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
     "n_repeat_words long, line_keys array<long>, line_words array<int>"
 )
+ROW = ["id", "host", "text_key"]
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[48:58] = 48
@@ -53,6 +56,23 @@ def _repeats(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return again, later
 
 
+def text_lines(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Row, start, end, key and word count of every line with words; lines are cut at every "\\n" and at every row's end."""
+    breaks = np.flatnonzero(data == 10)
+    first = np.sort(np.concatenate([offsets[:-1], breaks + 1]), kind="stable")
+    last = np.sort(np.concatenate([breaks, offsets[1:]]), kind="stable")
+    of = np.searchsorted(starts, first), np.searchsorted(starts, last)
+    with_words = of[1] > of[0]
+    first, last, a, b = first[with_words], last[with_words], of[0][with_words], of[1][with_words]
+    row = rows[a] if len(a) else np.zeros(0, np.int64)
+    folded = common.span_hashes(_FOLD[data], starts, ends)
+    up, down = common._power_table(len(data) + 1)
+    with np.errstate(over="ignore"):
+        total = np.r_[np.zeros(1, np.uint64), np.cumsum(folded * up[: len(folded)], dtype=np.uint64)]
+        keys = common.mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+    return row, first, last, keys.view(np.int64), (b - a).astype(np.int32)
+
+
 def text_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The base counts of each row of a slice, and its lines' keys and word counts."""
     n = len(offsets) - 1
@@ -71,23 +91,11 @@ def text_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
             covered[again + k] = True
     out["n_repeat_words"] = np.bincount(rows[covered], minlength=n)
 
-    # lines: cut at every "\n" and at every row's end
-    breaks = np.flatnonzero(data == 10)
-    first = np.sort(np.concatenate([offsets[:-1], breaks + 1]), kind="stable")
-    last = np.sort(np.concatenate([breaks, offsets[1:]]), kind="stable")
     if n:
-        of = np.searchsorted(starts, first), np.searchsorted(starts, last)
-        with_words = of[1] > of[0]
-        first, last, a, b = first[with_words], last[with_words], of[0][with_words], of[1][with_words]
-        row = rows[a] if len(a) else np.zeros(0, np.int64)
+        row, first, last, keys, n_words = text_lines(data, offsets, starts, ends, rows)
         later = _repeats(common.span_hashes(data, first, last), row)[1]
         out["n_dup_lines"] = np.bincount(row[later], minlength=n)
-        folded = common.span_hashes(_FOLD[data], starts, ends)
-        up, down = common._power_table(len(data) + 1)
-        with np.errstate(over="ignore"):
-            total = np.r_[np.zeros(1, np.uint64), np.cumsum(folded * up[: len(folded)], dtype=np.uint64)]
-            keys = common.mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
-        out |= {"line_row": row, "line_key": keys.view(np.int64), "line_words": (b - a).astype(np.int32)}
+        out |= {"line_row": row, "line_key": keys, "line_words": n_words}
     return out
 
 
@@ -97,19 +105,30 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = text_counts(data, offsets)
             bounds = np.searchsorted(c["line_row"], np.arange(part.num_rows + 1)).astype(np.int32)
             lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(bounds), pa.array(x, kind))
-            key = common.span_hashes(data, offsets[:-1], offsets[1:]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(key)]
+                [part.column(0), part.column(1), part.column(3)]
                 + [pa.array(c[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
                 + [lists(c["line_key"], pa.int64()), lists(c["line_words"], pa.int32())],
                 names=["id", "host", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_keys", "line_words"],
             )
 
 
+def _host(host_col: str) -> Column:
+    return F.coalesce(F.col(host_col).cast("string"), F.lit(""))
+
+
+def _text_key(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Rows of one document (id, host, text_key) together; a null id equals a null id."""
+    r = right.select(*[F.col(c).alias(f"r_{c}") if c in ROW else F.col(c) for c in right.columns])
+    return left.join(r, left.id.eqNullSafe(r.r_id) & (left.host == r.r_host) & (left.text_key == r.r_text_key), how).drop(*[f"r_{c}" for c in ROW])
+
+
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    return docs.select(
-        F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(text_col).alias("text")
-    ).mapInArrow(_features, FEATURES)
+    return docs.select(F.col(id_col).cast("long").alias("id"), _host(host_col).alias("host"), F.col(text_col).alias("text"), _text_key(text_col).alias("text_key")).mapInArrow(_features, FEATURES)
 
 
 def frequent_lines(feats: DataFrame, min_docs: int, max_share: float) -> DataFrame:
@@ -120,17 +139,15 @@ def frequent_lines(feats: DataFrame, min_docs: int, max_share: float) -> DataFra
     return counted.join(hosts, "host").where(F.col("n_docs") >= F.col("host_docs") * F.lit(max_share)).select("host", "line", "n_docs")
 
 
-def quality_rules(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-    min_words: int = 50, max_repeat: int = 50, min_docs: int = 20, max_share: float = 0.01, keep_share: float = 0.2,
+def verdicts(
+    docs: DataFrame, id_col: str, text_col: str, host_col: str, min_words: int, max_repeat: int, min_docs: int, max_share: float, keep_share: float
 ) -> DataFrame:
-    """One row per document: its counts, words removed with frequent lines, base_failed and kept."""
+    """One row per document: id, host, text_key, its counts, words removed with frequent lines and those lines' keys, base_failed and kept."""
     feats = common.written(features(docs, id_col, text_col, host_col), "quality-features")
     frequent = common.written(frequent_lines(feats, min_docs, max_share), "quality-lines")
     small = frequent.count() <= BROADCAST_LINES
-    row = ["id", "host", "text_key"]
-    lines = feats.select(*row, F.explode(F.arrays_zip("line_keys", "line_words")).alias("l")).select(
-        *row, F.col("l.line_keys").alias("line"), F.col("l.line_words").alias("words")
+    lines = feats.select(*ROW, F.explode(F.arrays_zip("line_keys", "line_words")).alias("l")).select(
+        *ROW, F.col("l.line_keys").alias("line"), F.col("l.line_words").alias("words")
     )
     if small:
         hits = lines.join(F.broadcast(frequent), ["host", "line"])
@@ -139,23 +156,73 @@ def quality_rules(
         hits = lines.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts))).join(
             frequent.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["host", "line", "salt"]
         )
-    copies = feats.groupBy(*row).agg(F.count("*").alias("copies"))
-    removed = hits.groupBy(*row).agg(F.sum("words").alias("removed_words"))
-    removed = removed.join(copies, row).select(*row, (F.col("removed_words") / F.col("copies")).cast("long").alias("removed_words"))
+    copies = feats.groupBy(*ROW).agg(F.count("*").alias("copies"))
+    removed = hits.groupBy(*ROW).agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("removed_lines"))
+    removed = _joined(removed, copies, "inner").select(*ROW, (F.col("removed_words") / F.col("copies")).cast("long").alias("removed_words"), "removed_lines")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
     return (
-        feats.drop("line_keys", "line_words")
-        .join(removed, row, "left")
+        _joined(feats.drop("line_keys", "line_words"), removed, "left")
         .withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (left >= F.lit(keep_share) * F.col("n_words")))
-        .select(
-            F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words"
-        )
     )
 
 
+def quality_rules(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
+    min_words: int = 50, max_repeat: int = 50, min_docs: int = 20, max_share: float = 0.01, keep_share: float = 0.2,
+) -> DataFrame:
+    """One row per document: its counts, words removed with frequent lines, base_failed and kept."""
+    return verdicts(docs, id_col, text_col, host_col, min_words, max_repeat, min_docs, max_share, keep_share).select(
+        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words"
+    )
+
+
+def _without_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text without the lines whose keys are beside it, and its length; texts and lengths of rows without such keys as they came."""
+    for batch in batches:
+        at_text, at_chars, at_gone = (batch.schema.get_field_index(x) for x in ("text", "n_chars", "removed_lines"))
+        for part, data, offsets in common.steps(batch):
+            gone = part.column(at_gone).to_pylist()
+            cut = np.flatnonzero([bool(g) for g in gone])
+            columns = part.columns
+            if len(cut):
+                texts, n_chars = part.column(at_text).to_pylist(), part.column(at_chars).to_pylist()
+                row, first, last, keys, _ = text_lines(data, offsets, *common.words(data, offsets))
+                bounds = np.searchsorted(row, np.arange(part.num_rows + 1))
+                raw = data.tobytes()
+                for i in cut:
+                    own = slice(bounds[i], bounds[i + 1])
+                    hit = np.isin(keys[own], gone[i])
+                    out, at, end = [], int(offsets[i]), int(offsets[i + 1])
+                    for a, b in zip(first[own][hit], last[own][hit], strict=True):
+                        out.append(raw[at:a])
+                        at = min(int(b) + 1, end)  # the line's "\n" goes with it
+                    out.append(raw[at:end])
+                    text = b"".join(out)
+                    if at == end and last[own][-1] == end and text.endswith(b"\n"):
+                        text = text[:-1]  # the last line went: the break before it is no line's any more
+                    texts[i] = text.decode()
+                    n_chars[i] = len(texts[i])
+                columns[at_text], columns[at_chars] = pa.array(texts, part.schema.field(at_text).type), pa.array(n_chars, part.schema.field(at_chars).type)
+            yield pa.RecordBatch.from_arrays(columns[:at_gone], names=part.schema.names[:at_gone])
+
+
+def cleaned(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars",
+    min_words: int = 50, max_repeat: int = 50, min_docs: int = 20, max_share: float = 0.01, keep_share: float = 0.2,
+) -> DataFrame:
+    """The documents that stay, in their own columns: their texts without the frequent lines, the length of a changed text following it."""
+    rated = verdicts(docs, id_col, text_col, host_col, min_words, max_repeat, min_docs, max_share, keep_share)
+    told = rated.where(~F.col("kept") | F.col("removed_lines").isNotNull()).select(*ROW, "kept", "removed_lines").dropDuplicates(ROW)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).cast("long").alias("id"), _host(host_col).alias("host"), _text_key(text_col).alias("text_key"))
+    rows = _joined(rows, told, "left").where("kept IS NULL OR kept")
+    inner = [F.col("doc")[c].alias({text_col: "text", chars_col: "n_chars"}.get(c, c)) for c in docs.columns]
+    out = rows.select(*inner, "removed_lines")
+    return out.mapInArrow(_without_lines, out.drop("removed_lines").schema).toDF(*docs.columns)
+
+
 ORACLE = """
 WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, host, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),

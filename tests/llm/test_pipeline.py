@@ -56,3 +56,19 @@ def test_odd_rows_and_empty_tables(spark):
             docs = common.written(stage(spark, docs, SMALL), "odd")
     for _, stage in cp.STAGES:
         stage(spark, odd_documents(spark), SMALL).count()
+
+
+def test_frequent_lines_leave_the_texts(spark):
+    name = lambda x: "".join(chr(97 + int(c)) for c in str(x))  # noqa: E731  digits of lines are zeroed, so letters tell them apart
+    own = lambda i, n: " ".join(f"own{name(i)}x{name(k)}" for k in range(n))
+    notice = "All RIGHTS kept by é site 12"
+    rows = [(i, f"{own(i, 60)}\n{notice}\n\n{own(i + 500, 5)}" if i % 2 else f"{notice}\n{own(i, 60)}\n{notice}", "en", "h", -1) for i in range(60)]
+    rows += [(100, f"{own(100, 60)}\n{notice}\n", "en", "other", -1), (None, f"{own(101, 60)}\n{notice}", "en", "h", -1), (None, own(102, 60), "en", "h", -1)]
+    rows += [(7, "too short", "en", "h", -1), (None, "short too", "en", "h", -1), (103, notice, "en", "h", -1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {tuple(r) for r in cp._quality(spark, docs, SMALL).collect()}
+    want = set()
+    for i, t, lang, host, n in rows[:-3]:
+        kept = "\n".join(x for x in t.split("\n") if host != "h" or x != notice)
+        want.add((i, kept, lang, host, n if kept == t else len(kept)))
+    assert got == want
