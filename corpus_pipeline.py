@@ -20,9 +20,8 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays: the one with the smallest doc_id."""
-    first = near_dedup.near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+    """One document of each class of near copies stays: the one with the smallest doc_id, null last."""
+    return near_dedup.first_of_classes(docs.select(COLUMNS))
 
 
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,15 +14,18 @@ whenever X or Y is not linked to O. Deviations ordered from rare to common, X an
 the first |D| - t + 1 of each; an equi-join on (centre, deviation) over these prefixes yields the
 few pairs left, which are verified exactly like the others.
 
+A text is known by its 64-bit hash throughout (n texts hold two of one hash with probability
+n^2 / 2^65); ids are only looked up at the end, so they may be null or stand on several texts.
+
 Defined results: equal texts are one class whatever they hold; null is an empty text; a text of
 fewer than five words is one shingle of all its words; texts without a word are linked to equal
-texts only; class_id is the smallest doc_id of the class; rows that repeat a doc_id get one
-class; an empty table gives an empty result; columns other than id and text are ignored.
+texts only; class_id is the smallest doc_id of the class, null where all are null; rows that
+repeat a doc_id have the class of their own text each; an empty table gives an empty result;
+columns other than id and text are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,10 +50,8 @@ def _sign(m: int, bands: int):
                 keys = bagminhash.band_keys(signature, bands).view(np.int64)
                 total = np.bincount(owner, weights=weight, minlength=part.num_rows).astype(np.int64)
                 bounds = np.concatenate([[0], np.cumsum(np.where(total > 0, bands, 0))]).astype(np.int32)
-                raw = data.tobytes()
-                digest = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(digest, pa.binary()), pa.array(total), pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys[total > 0].ravel()))],
+                    [part.column(0), part.column(2), pa.array(total), pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys[total > 0].ravel()))],
                     names=["id", "text_key", "n", "bands"],
                 )
 
@@ -166,31 +167,55 @@ def components(edges: DataFrame, name: str = "classes") -> DataFrame:
             return labels
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 32, band_rows: int = 4
-) -> DataFrame:
-    """One row per document row: its id and class_id."""
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = common.written(plain.mapInArrow(_sign(bands * band_rows, bands), "id long, text_key binary, n long, bands array<long>"), "signed")
-    distinct = common.written(signed.groupBy("text_key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "distinct")
+def classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, band_rows: int) -> DataFrame:
+    """(id, text_key, label, class_id) of each row; a class has one label, and rows of one text_key (xxhash64 of the text) one class."""
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"))
+    signed = common.written(plain.mapInArrow(_sign(bands * band_rows, bands), "id long, text_key long, n long, bands array<long>"), "signed")
+    distinct = common.written(signed.groupBy("text_key").agg(F.min("id").alias("first_id"), F.first("bands").alias("bands")), "distinct")
 
-    rows = distinct.select(F.explode("bands").alias("key"), "rep")
+    rows = distinct.select(F.explode("bands").alias("key"), F.col("text_key").alias("rep"))
     shared = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     buckets = common.written(rows.join(shared, "key"), "buckets")
     mates = common.written(buckets.groupBy("rep").agg(F.sum("members").alias("mates")), "mates")
     ranked = buckets.join(mates, "rep")
     centres = ranked.groupBy("key").agg(F.min(F.struct((-F.col("mates")).alias("mates"), "rep")).alias("c")).select("key", F.col("c.rep").alias("a"))
     pairs = buckets.join(centres, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    held = common.written(plain.join(mates.select(F.col("rep").alias("id")), "id").dropDuplicates(["id"]), "bucket-texts")
+    # one row holds each text: the join asks for its first id too, so a text of many copies sends one
+    wanted = mates.join(distinct.select(F.col("text_key").alias("rep"), "first_id"), "rep").select("rep", "first_id")
+    held = plain.join(wanted, (plain.text_key == wanted.rep) & plain.id.eqNullSafe(wanted.first_id)).select(F.col("rep").alias("id"), "text")
+    held = common.written(held.dropDuplicates(["id"]), "bucket-texts")
 
     stars = common.written(compared(pairs, held, deviations=True), "stars")
     linked = F.col("similarity") >= threshold
     labels = components(stars.where(linked).select("a", "b"))
     more = common.written(compared(undecided(stars, labels, threshold), held).where(linked).select("a", "b"), "links")
-    own = distinct.select("text_key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("text_key", "rep", F.coalesce("class_id", "rep").alias("class_id"))
+    texts = distinct.select("text_key", "first_id")
+    own = texts.join(labels.toDF("text_key", "label"), "text_key", "left").select("text_key", "first_id", F.coalesce("label", "text_key").alias("label"))
     if more.limit(1).count():
-        of = own.select("rep", "class_id")
+        of = own.select("text_key", "label")
         merged = more.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        final = components(merged).toDF("class_id", "merged_id")
-        own = own.join(final, "class_id", "left").select("text_key", "rep", F.coalesce("merged_id", "class_id").alias("class_id"))
-    return signed.select("id", "text_key").join(own.select("text_key", "class_id"), "text_key").select(F.col("id").alias(id_col), "class_id")
+        final = components(merged).toDF("label", "merged")
+        own = own.join(final, "label", "left").select("text_key", "first_id", F.coalesce("merged", "label").alias("label"))
+    own = common.written(own, "own-classes")
+    # a class of one text has its own first id; only classes of several texts are looked up by label
+    several = own.groupBy("label").agg(F.min("first_id").alias("class_id"), F.count("*").alias("n")).where("n > 1").select("label", "class_id", F.lit(True).alias("several"))
+    named = own.join(several, "label", "left").select("text_key", "label", F.when(F.col("several"), F.col("class_id")).otherwise(F.col("first_id")).alias("class_id"))
+    return signed.select("id", "text_key").join(named, "text_key").select("id", "text_key", "label", "class_id")
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 32, band_rows: int = 4
+) -> DataFrame:
+    """One row per document row: its id and class_id."""
+    return classes(docs, id_col, text_col, threshold, bands, band_rows).select(F.col("id").alias(id_col), "class_id")
+
+
+def first_of_classes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 32, band_rows: int = 4
+) -> DataFrame:
+    """One document of each class, in its own columns: the one of the smallest id, null last, then of the smallest text_key."""
+    rows = classes(docs, id_col, text_col, threshold, bands, band_rows)
+    first = rows.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("f")).select(F.col("f.id").alias("first_id"), F.col("f.text_key").alias("first_key"))
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"))
+    held = keyed.join(first, (keyed.text_key == first.first_key) & keyed.id.eqNullSafe(first.first_id), "left_semi")
+    return held.dropDuplicates(["id", "text_key"]).select("doc.*")

@@ -152,6 +152,16 @@ def test_near_duplicates_against_brute_force(spark):
     assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(small).collect()} == classes_by_brute_force([tuple(r) for r in small.collect()])
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(90)] for _ in range(4)]
+    near = lambda k: " ".join([*base[k][:-1], f"end{rng.randrange(10**6)}"])
+    rows = [(None, " ".join(base[0])), (4, near(0)), (None, near(0)), (None, " ".join(base[1])), (None, near(1))]
+    rows += [(7, " ".join(base[2])), (7, " ".join(base[3])), (8, near(2)), (9, near(3))]  # one id on two texts, each with its own copy
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.class_id) for r in got) == Counter([(None, 4), (4, 4), (None, 4), (None, None), (None, None), (7, 7), (7, 7), (8, 7), (9, 7)])
+
+
 def test_components_of_a_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(30) if i != 14] + [(40, 40)], "a long, b long")
     assert {r.id: r.class_id for r in near_dedup.components(e).collect()} == {i: 0 if i < 15 else 15 for i in range(31)}

@@ -72,3 +72,14 @@ def test_frequent_lines_leave_the_texts(spark):
         kept = "\n".join(x for x in t.split("\n") if host != "h" or x != notice)
         want.add((i, kept, lang, host, n if kept == t else len(kept)))
     assert got == want
+
+
+def test_near_dedup_keeps_one_row_of_each_class(spark):
+    own = lambda k: " ".join(f"own{k}x{j}" for j in range(90))
+    near = lambda k: own(k) + " tail"
+    rows = [(None, own(0)), (None, own(1)), (None, near(1)), (3, near(2)), (None, own(2)), (None, own(2)), (5, own(3)), (5, own(4)), (6, near(4)), (5, own(3)), (9, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", None, 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in cp._near_dedup(spark, docs, SMALL).collect()]
+    assert len(got) == len(set(got)) == 6
+    assert {(None, own(0)), (3, near(2)), (5, own(3)), (5, own(4)), (9, None)} <= set(got)
+    assert len({(None, own(1)), (None, near(1))} & set(got)) == 1
