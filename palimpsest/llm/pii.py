@@ -1,13 +1,16 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contexts. DataFrame functions only.
 
 Base kinds (email, ip, card, phone) are leftmost non-overlapping matches with a validity test;
-a match that fails is dropped. The bootstrap starts from them: every run of words with digits is
-an occurrence of an instance (its text) in lexical patterns (the one or two words before it, or
-the word after it, each with the run's shape). Instances that overlap base spans are seeds of
-score 1. In each round a pattern's confidence is the score sum of its distinct instances over
-their number plus one, patterns of little support drop out, and an instance that is no seed
-scores 1 - product(1 - confidence) over its confident patterns. Instances at `accept` or more
-after the last round add spans of kind `id`; base spans always stay.
+a match that fails is dropped. The bootstrap starts from them: every run of words with digits, and
+every other word with an @, is an occurrence of an instance (its text) in lexical contexts: the
+one or two words before it, the word after it, the words on both sides. A context makes a
+pattern of its words alone, so identifiers of any layout share it; the one-sided contexts make a
+narrower pattern too, of the words with the run's shape. Instances that overlap base spans are
+seeds of score 1. In each round a pattern's confidence is the score sum of its distinct instances
+over their number plus one, patterns of little support drop out, a context counts by the better
+of its patterns, and an instance that is no seed scores 1 - product(1 - confidence) over its
+contexts. Instances at `accept` or more after the last round add spans of kind `id` if they have
+an @ or at least four digits, as every base span has; base spans always stay.
 
 Positions are code points. Spark's regular expressions yield matches without places, so a text is
 also split at the same pattern: lengths of the pieces and matches add up to the places. The
@@ -32,8 +35,8 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Words with a digit, joined by single spaces.
-DIGIT_RUN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+(?:\x20[^\s0-9]*+[0-9]\S*+)*+"
+#: Words with a digit, joined by single spaces; or a word with an @ and no digit.
+RUN = r"(?<!\S)(?:[^\s0-9]*+[0-9]\S*+(?:\x20[^\s0-9]*+[0-9]\S*+)*+|[^\s0-9@]*+@[^\s0-9]*+(?!\S))"
 
 _DIGITS = "regexp_replace(m.text, '[^0-9]', '')"
 _VALID = {
@@ -63,13 +66,13 @@ def places(text: str, pattern: str, needs: str, context: bool = False) -> Column
 
 
 def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One pass over the texts: (id, text_key, base spans, digit runs with their contexts)."""
+    """One pass over the texts: (id, text_key, base spans, runs with their contexts)."""
     df = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     df = df.select("id", F.xxhash64("text").alias("text_key"), "text")
     needs = {"email": "@", "ip": "[0-9][.]", "card": "[0-9][ -]?[0-9]", "phone": "[+][0-9]"}
     for kind, pattern in (("email", EMAIL), ("ip", IP), ("card", CARD), ("phone", PHONE)):
         df = df.withColumn(kind, places("text", pattern, needs[kind]))
-    df = df.withColumn("runs", places("text", DIGIT_RUN, "[0-9]", context=True)).drop("text")
+    df = df.withColumn("runs", places("text", RUN, "[0-9@]", context=True)).drop("text")
     for k, kind in enumerate(KINDS[:4]):
         kept = F.expr(f"transform(filter({kind}, m -> {_VALID[kind]}), m -> named_struct('start', m.start, 'kind', {k}, 'end', m.end))")
         df = df.withColumn(kind, kept)
@@ -77,7 +80,7 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def occurrences(scan: DataFrame) -> DataFrame:
-    """(id, text_key, start, end, instance, seed, patterns) of every digit run."""
+    """(id, text_key, start, end, instance, seed, patterns as (context, shape)) of every run; a pattern of the words alone has an empty shape."""
     run = F.expr(
         "transform(runs, r -> named_struct('start', r.start + length(r.text) - length(regexp_replace(r.text, '^[^0-9A-Za-z+]+', '')), "
         "'end', r.end - length(r.text) + length(regexp_replace(r.text, '[^0-9A-Za-z]+$', '')), "
@@ -86,28 +89,37 @@ def occurrences(scan: DataFrame) -> DataFrame:
     rows = scan.select("id", "text_key", "base", F.explode(run).alias("r")).select("id", "text_key", "base", "r.*").where("end > start")
     shape = "regexp_replace(regexp_replace(instance, '[0-9]', '9'), '[A-Za-z]+', 'a')"
     last = "regexp_extract(before, '(\\\\S+)$', 1)"
+    two, one, after = "concat('<2 ', regexp_replace(before, '\\\\s+', ' '))", f"concat('<1 ', {last})", "concat('>1 ', after)"
+    pattern = lambda context, shape="''", when="true": f"named_struct('context', CASE WHEN {when} THEN {context} END, 'shape', {shape})"
+    alone = ", ".join([  # at the edge of a text there are no words
+        pattern(two, when="before RLIKE '\\\\s'"), pattern(one, when=f"{last} <> ''"), pattern(after, when="after <> ''"),
+        pattern(f"concat('<> ', {last}, ' ', after)", when=f"{last} <> '' AND after <> ''"),
+    ])
+    shaped = ", ".join(pattern(x, shape) for x in (two, one, after))
     return rows.select(
         "id", "text_key", "start", "end", "instance",
         F.expr("exists(base, b -> b.start < end AND b.end > start)").alias("seed"),
         F.expr(
-            f"array_distinct(array(concat('<2 ', regexp_replace(before, '\\\\s+', ' '), ' | ', {shape}), concat('<1 ', {last}, ' | ', {shape}), concat('>1 ', after, ' | ', {shape})))"
+            f"array_distinct(concat(filter(array({alone}), p -> p.context IS NOT NULL), array({shaped})))"
         ).alias("patterns"),
     )
 
 
 def bootstrap(found: DataFrame, rounds: int, support: int, confident: float, accept: float) -> DataFrame:
     """(instance) of the unseen identifiers: scores run over the graph of distinct patterns and instances."""
-    graph = common.written(found.select("instance", "seed", F.explode("patterns").alias("pattern")).groupBy("instance", "pattern").agg(F.max("seed").alias("seed")), "pii-graph")
+    graph = common.written(found.select("instance", "seed", F.explode("patterns").alias("p")).select("instance", "seed", "p.*").groupBy("instance", "context", "shape").agg(F.max("seed").alias("seed")), "pii-graph")
     seeds = graph.groupBy("instance").agg(F.max("seed").alias("seed"))
     scores = common.written(seeds.select("instance", "seed", F.col("seed").cast("double").alias("score")), "pii-scores")
     for _ in range(rounds):
-        rated = graph.select("instance", "pattern").join(scores.select("instance", "score"), "instance").groupBy("pattern")
+        rated = graph.select("instance", "context", "shape").join(scores.select("instance", "score"), "instance").groupBy("context", "shape")
         patterns = rated.agg(F.sum("score").alias("sum"), F.count("*").alias("n")).where(F.col("sum") >= support)
-        patterns = patterns.select("pattern", (F.col("sum") / (F.col("n") + 1)).alias("confidence")).where(F.col("confidence") >= confident)
-        raised = graph.select("instance", "pattern").join(patterns, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("raised"))
+        patterns = patterns.select("context", "shape", (F.col("sum") / (F.col("n") + 1)).alias("confidence")).where(F.col("confidence") >= confident)
+        by_context = graph.select("instance", "context", "shape").join(patterns, ["context", "shape"]).groupBy("instance", "context").agg(F.max("confidence").alias("confidence"))
+        raised = by_context.groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("raised"))
         score = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("raised", F.lit(0.0)))
         scores = common.written(scores.join(raised, "instance", "left").select("instance", "seed", score.alias("score")), "pii-scores")
-    return scores.where(~F.col("seed") & (F.col("score") >= accept)).select("instance")
+    likely = F.col("instance").contains("@") | (F.length(F.regexp_replace("instance", "[^0-9]", "")) >= 4)
+    return scores.where(~F.col("seed") & (F.col("score") >= accept) & likely).select("instance")
 
 
 def _joined(spans: str) -> str:

@@ -341,6 +341,18 @@ def test_contexts_discover_identifiers(spark):
     assert all("id:" not in r.spans for r in pii.report(pii.find_pii(shaped)).collect())
 
 
+def test_contexts_discover_other_layouts_at_the_defaults(spark):
+    rng = random.Random(2)
+    letters = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    rows = [(i, f"note {letters(i)} contact phone number +1 ({rng.randrange(100, 999)}) 555-{rng.randrange(1000, 9999)} please {letters(i)}") for i in range(30)]
+    rows += [(50, "see contact phone number (212) 555-1234 please"), (51, "see contact phone number 212-555-1299 please"), (52, "chapter 1290 of 4000 pages"), (53, "see contact phone number 12 please")]
+    rows += [(100 + i, f"my account mail id {letters(100 + i)}@host.org now") for i in range(30)]  # seeds without a digit
+    rows += [(150, "my account mail id user(at)host 12345 now"), (151, "my account mail id user12345(at)host now"), (152, "my account mail id someone@localhost now")]
+    got = {r.doc_id: (r.base_sha256, r.spans) for r in pii.report(pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert {i: got[i][1] for i in (50, 51, 52, 53, 151, 152)} == {50: "id:26:39", 51: "id:25:37", 52: "", 53: "", 151: "id:19:36", 152: "id:19:36"}
+    assert "id:" not in got[0][1] + got[100][1] and got[100][1].startswith("email:")
+
+
 def test_mask(spark):
     docs = spark.createDataFrame([(1, "é a@b.cd and +1 (212) 555-1234."), (2, "none"), (3, None)], "doc_id long, text string")
     keyed = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
