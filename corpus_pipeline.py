@@ -32,9 +32,9 @@ def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def _mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind in brackets; n_chars follows the new text."""
-    found = pii.find_pii(docs).where("size(spans) > 0").select("doc_id", "text_key", "spans").dropDuplicates(["doc_id", "text_key"])
+    found = pii.find_pii(docs).where("size(spans) > 0").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "spans").dropDuplicates(["id", "key"])
     keyed = docs.select(COLUMNS).withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    masked = keyed.join(found, ["doc_id", "text_key"], "left").withColumn("masked", F.when(F.col("spans").isNull(), F.col("text")).otherwise(pii.mask("text", "spans")))
+    masked = keyed.join(found, keyed.doc_id.eqNullSafe(found.id) & (keyed.text_key == found.key), "left").withColumn("masked", F.when(F.col("spans").isNull(), F.col("text")).otherwise(pii.mask("text", "spans")))
     n_chars = F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("masked").cast("long"))
     return masked.select("doc_id", F.col("masked").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 

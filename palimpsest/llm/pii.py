@@ -18,7 +18,8 @@ patterns are possessive and anchored to the last match or the run's start, which
 and keeps them linear on long runs.
 
 Defined results: null text is empty; an empty text has no spans and the digest of the empty
-string; rows that repeat give repeated results and count once for the bootstrap's instances; an
+string; rows of null id are known by their text like all others; rows that repeat give
+repeated results and count once for the bootstrap's instances; an
 empty table gives an empty result; columns other than id and text are ignored.
 """
 
@@ -138,7 +139,8 @@ def find_pii(
         F.array_sort(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end"))).alias("added")
     )
     none = F.expr("cast(array() AS array<struct<start:int,kind:int,end:int>>)")
-    both = scan.select("id", "text_key", "base").join(added, ["id", "text_key"], "left")
+    added = added.select(F.col("id").alias("a_id"), F.col("text_key").alias("a_key"), "added")
+    both = scan.select("id", "text_key", "base").join(added, F.col("id").eqNullSafe(F.col("a_id")) & (F.col("text_key") == F.col("a_key")), "left")
     return both.select(F.col("id").alias(id_col), "text_key", "base", F.array_sort(F.concat("base", F.coalesce("added", none))).alias("spans"))
 
 

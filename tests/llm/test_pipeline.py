@@ -83,3 +83,11 @@ def test_near_dedup_keeps_one_row_of_each_class(spark):
     assert len(got) == len(set(got)) == 6
     assert {(None, own(0)), (3, near(2)), (5, own(3)), (5, own(4)), (9, None)} <= set(got)
     assert len({(None, own(1)), (None, near(1))} & set(got)) == 1
+
+
+def test_masking_of_null_ids(spark):
+    rows = [(None, "write to a@b.cd now"), (None, "or call +1 (212) 555-1234."), (None, "none"), (1, "x@y.zz"), (1, "or call +1 (212) 555-1234."), (None, None), (None, "write to a@b.cd now")]
+    docs = spark.createDataFrame([(i, t, None, None, len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text, r.n_chars) for r in cp._mask_pii(spark, docs, SMALL).collect())
+    want = [(None, "write to [EMAIL] now"), (None, "or call [PHONE]."), (None, "none"), (1, "[EMAIL]"), (1, "or call [PHONE]."), (None, None), (None, "write to [EMAIL] now")]
+    assert got == Counter((i, t, len(t or "")) for i, t in want)
