@@ -4,8 +4,13 @@ Pages of one host are merged into a tree of element paths. For every path the tr
 content variants (the text of its blocks) and its presentation variants (the sequence of child
 elements of its parent), each counted over distinct pages. The importance of a variant
 distribution over n occurrences is its entropy divided by log n: 1 where every page differs, 0
-where all agree; a block's importance is 0.9 content + 0.1 presentation. Blocks on paths that
-at least `min_pages` distinct occurrences show to be of importance under `least` are removed.
+where all agree. A path that holds several blocks of a page (a list) is judged by its variants
+over the m pages that have the path (`min_pages` at least), too: a variant on c of them is of importance
+1 - log c / log m, the path's content of their mean, so a list that is the same on every page
+has 0 whatever its length. The smaller of both is the content's; a block's importance is
+0.9 content + 0.1 presentation. Blocks on paths that at least `min_pages` distinct occurrences
+show to be of importance under `least` are removed; a branch goes where all its paths do, so
+no text of importance falls with its neighbours.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
 are also recognised by element, role, class and id, since a host with few pages shows no style.
@@ -166,27 +171,32 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 whole = _key(page)
                 styles: dict[str, list[str]] = {}
+                first = len(rows)
                 for path, parent, _, _, text in blocks(page)[0]:
                     rows.append((host, whole, _key(path), _key(parent), 0, _key(text)))
                     style = styles.setdefault(parent, [])
                     if style[-1:] != [path]:
                         style.append(path)
                 rows += [(host, whole, _key(parent), 0, 1, _key("|".join(x))) for parent, x in styles.items()]
+                rows += [(host, whole, path, 0, 2, 0) for path in {r[2] for r in rows[first:] if r[4] == 0}]  # the page has the path
             names = ["host", "page", "path", "parent", "kind", "variant"]
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(6)], names=names)
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
+def style_tree(pages: DataFrame, min_pages: int = 20) -> DataFrame:
     """(host, path, occurrences, importance) of every block path; pages has host and html."""
     seen = pages.mapInArrow(_variants, "host string, page long, path long, parent long, kind int, variant long")
     counted = seen.groupBy("host", "path", "parent", "kind", "variant").agg(F.countDistinct("page").alias("c"))
     n, weighted = F.sum("c"), F.sum(F.col("c") * F.log(F.col("c").cast("double")))
-    nodes = counted.groupBy("host", "path", "parent", "kind").agg(n.alias("n"), weighted.alias("w"))
+    shared = F.avg(F.log(F.col("c").cast("double")))
+    nodes = counted.groupBy("host", "path", "parent", "kind").agg(n.alias("n"), weighted.alias("w"), shared.alias("shared"))
     nodes = nodes.withColumn("entropy", F.when(F.col("n") > 1, (F.log(F.col("n").cast("double")) - F.col("w") / F.col("n")) / F.log(F.col("n").cast("double"))).otherwise(1.0))
     styles = nodes.where("kind = 1").select("host", F.col("path").alias("parent"), F.col("entropy").alias("presentation"))
-    leaves = nodes.where("kind = 0").join(styles, ["host", "parent"], "left")
-    importance = 0.9 * F.col("entropy") + 0.1 * F.coalesce("presentation", F.lit(1.0))
+    held = nodes.where("kind = 2").select("host", "path", F.col("n").alias("m"))
+    leaves = nodes.where("kind = 0").join(styles, ["host", "parent"], "left").join(held, ["host", "path"])
+    listed = F.when((F.col("m") >= max(min_pages, 2)) & (F.col("n") > F.col("m")), 1 - F.col("shared") / F.log(F.col("m").cast("double"))).otherwise(1.0)
+    importance = 0.9 * F.least("entropy", listed) + 0.1 * F.coalesce("presentation", F.lit(1.0))
     return leaves.groupBy("host", "path").agg(F.sum("n").alias("occurrences"), F.max(importance).alias("importance"))
 
 
@@ -210,7 +220,7 @@ def main_text(
     """id, url, text and n_chars of every page."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     named = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
-    tree = style_tree(named.select("host", "html"))
+    tree = style_tree(named.select("host", "html"), min_pages)
     low = common.written(tree.where((F.col("occurrences") >= min_pages) & (F.col("importance") < least)).select("host", "path"), "style-tree")
     by_host = low.groupBy("host").agg(F.collect_set("path").alias("low"))
     if low.count() <= broadcast_paths:  # 8 bytes a path

@@ -384,6 +384,16 @@ def test_style_tree_removes_shared_branches(spark):
     assert got[200] == got[239] and "body 5 one" in got[200]  # copies of one page are one page
 
 
+def test_style_tree_removes_shared_lists(spark):
+    entries = "".join(f"<li>entry {k}</li>" for k in range(10))
+    page = lambda i: f"<div class='top'><ul>{entries}</ul></div><div class='text'><p>body {i} one</p><p>more {i * 7 + 1} text</p><p>Shared words</p></div><div class='low'><p>Terms</p><p>Imprint</p><p>Contact</p><p>Help</p></div>"
+    rows = [(i, f"http://big.org/{i}", page(i)) for i in range(40)] + [(99, "http://small.org/1", page(99))] + [(200 + i, f"http://two.org/{i}", page(200 + i)) for i in range(2)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[200].startswith("entry 0\n\nentry 1")  # nor do two
+    assert got[3] == "body 3 one\n\nmore 22 text\n\nShared words"  # a path with texts of its own stays whole
+    assert got[99].startswith("entry 0\n\nentry 1")  # one page shows no style
+
+
 def test_html_blocks():
     text = lambda p: html_text._main_text(p, frozenset())
     assert text("<nav>x</nav><div class='content'><h1>T &amp; t</h1><p>a<b>b</b> c<br>d<p>e&nbsp;f<div id=comments>zz</div></div><footer>q</footer>") == "T & t\n\nab c d\n\ne f"
