@@ -389,18 +389,119 @@ def test_style_tree_removes_shared_lists(spark):
     page = lambda i: f"<div class='top'><ul>{entries}</ul></div><div class='text'><p>body {i} one</p><p>more {i * 7 + 1} text</p><p>Shared words</p></div><div class='low'><p>Terms</p><p>Imprint</p><p>Contact</p><p>Help</p></div>"
     rows = [(i, f"http://big.org/{i}", page(i)) for i in range(40)] + [(99, "http://small.org/1", page(99))] + [(200 + i, f"http://two.org/{i}", page(200 + i)) for i in range(2)]
     got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[200].startswith("entry 0\n\nentry 1")  # nor do two
-    assert got[3] == "body 3 one\n\nmore 22 text\n\nShared words"  # a path with texts of its own stays whole
+    assert got[200].startswith("entry 0\n\nentry 1")  # two pages show little
+    assert got[3] == "body 3 one\n\nmore 22 text"  # a shared last paragraph is a node of its own
     assert got[99].startswith("entry 0\n\nentry 1")  # one page shows no style
 
 
-def test_html_blocks():
-    text = lambda p: html_text._main_text(p, frozenset())
-    assert text("<nav>x</nav><div class='content'><h1>T &amp; t</h1><p>a<b>b</b> c<br>d<p>e&nbsp;f<div id=comments>zz</div></div><footer>q</footer>") == "T & t\n\nab c d\n\ne f"
-    assert text("<article><header><h1>Hi</h1></header><p>one\n two</p><ul><li>a<li>b</ul><form>no</form><section class='comments'><article><p>bad</p></article></section><p>end &lt;x&gt; &am</article><p>out</p>") == "Hi\n\none two\n\na\n\nb\n\nend <x> &am"
-    assert text("<p>x <!-- <p>no</p> --> y</p><script>var t='</p>';</script>z<!-- open <p>gone") == "x y\n\nz"
-    assert text(None) == text("") == text("<style>p{}") == ""
-    assert text("<a<a<a" * 2000 + "5 < 6") != "" and text("<div title='a>b'>c</div>") == "c"
+def test_marks_yield_to_the_tree(spark):
+    page = lambda i: f"<div class='promo'><p>the story {i} begins</p><p>and story {i} ends</p></div><div class='x7'>Home Shop Help</div>"
+    rows = [(i, f"http://odd.org/{i}", page(i)) for i in range(60)]
+    rows += [(100 + i, f"http://art.org/{i}", f"<div>Shop</div><article><h2 class='section-header'>Part {i}</h2><p>text {i}</p><p>Licensed as before</p></article><aside>news {i}</aside>") for i in range(60)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[7].startswith("the story 7 begins\n\nand story 7 ends")  # a mark alone does not take a host's only own text
+    assert got[107] == "Part 7\n\ntext 7\n\nLicensed as before"  # a marked article stays whole
+
+
+def brute_tree(pages, strength=20.0, gap=0.4):
+    """The texts of pages (host, html) by a style tree in plain Python, top down and host by host."""
+    import math
+
+    out = [None] * len(pages)
+    for host in {h for h, _ in pages}:
+        texts, styles, kids, marks, on = defaultdict(lambda: defaultdict(set)), defaultdict(lambda: defaultdict(set)), defaultdict(set), {}, defaultdict(set)
+        for h, page in pages:
+            if h != host or not page:
+                continue
+            nodes, found = html_text.parsed(page)
+            used = {x.chain for x, _ in found} | {x.chain for x in nodes if x.style}
+            for x, t in found:
+                texts[x.chain][t].add(page)
+            for x in nodes:
+                if x.style:
+                    styles[x.chain]["|".join(x.style)].add(page)
+                if x.chain in used:
+                    on[x.chain].add(page)
+                    marks[x.chain] = x.mark
+                    if len(x.chain) > 1:
+                        kids[x.chain[:-1]].add(x.chain)
+        own = {c: sum(1 - math.log(len(p)) / math.log(len(on[c])) if len(on[c]) > 1 else 1 for p in v.values()) / len(v) for c, v in texts.items()}
+        memo = {}
+
+        def composite(c):
+            if c not in memo:
+                counts = [len(p) for p in styles[c].values()]
+                entropy = 0.0
+                if counts:
+                    entropy = min(1.0, -sum(k / sum(counts) * math.log(k / sum(counts)) for k in counts) / math.log(len(on[c]))) if len(on[c]) > 1 else 1.0
+                g = 0.9 ** max(len(counts) - 1, 0)
+                parts = [(len(on[k]), composite(k)) for k in kids[c]] + ([(len(on[c]), own[c])] if c in own else [])
+                memo[c] = (1 - g) * entropy + g * (sum(w * x for w, x in parts) / sum(w for w, _ in parts) if parts else 0.0)
+            return memo[c]
+
+        def judged(c, x):
+            sure = len(on[c]) / (len(on[c]) + strength)
+            around = 1.0
+            if len(c) > 1:
+                above = len(on[c[:-1]]) / (len(on[c[:-1]]) + strength)
+                around = above * composite(c[:-1]) + 1 - above
+            x = sure * x + (1 - sure) * around
+            return {0: 0.5 * sure * x, 1: 1 - 0.25 * sure * (1 - x), None: x}[marks[c]]
+
+        rated = {c: judged(c, own[c]) for c in own}
+        weighted = [(min(int(math.floor(rated[c] * 50)), 49), rated[c], sum(len(p) for p in texts[c].values())) for c in own]
+        best, least = None, -1.0
+        for cut in sorted({b for b, _, _ in weighted})[1:]:
+            low, high = [w for w in weighted if w[0] < cut], [w for w in weighted if w[0] >= cut]
+            n0, n1 = sum(w[2] for w in low), sum(w[2] for w in high)
+            apart = sum(w[1] * w[2] for w in high) / n1 - sum(w[1] * w[2] for w in low) / n0
+            v = round(n0 * n1 * apart * apart / (n0 + n1) ** 2, 9)
+            if best is None or v > best:
+                best, least = v, cut / 50 if apart >= gap else -1.0
+        for i, (h, page) in enumerate(pages):
+            if h == host:
+                out[i] = "\n\n".join(t for x, t in html_text.parsed(page or "")[1] if rated[x.chain] >= least)
+    return out
+
+
+def test_style_tree_against_brute_force(spark):
+    rows = [tuple(r) for r in common.table(spark, SMALL, "pages").select("page_id", "url", "html").collect()]
+    rng = random.Random(6)
+    word = lambda: rng.choice(["oak", "elm", "ash", "fir", "yew"]) + str(rng.randrange(30))
+    piece = lambda i: rng.choice(["<p>{a}</p>", "<div class='k{c}'><p>same</p><p>{a} {b}</p></div>", "<ul><li>one<li>two<li>{c}</ul>", "<aside>{a}</aside>", "<section>{a}<p>fixed</p></section>"]).format(a=word(), b=i, c=rng.randrange(3))
+    rows += [(10_000 + i, f"https://h{i % 3}.net/{i}", "<body><div class='bar'>menu</div>" + "".join(piece(i) for _ in range(rng.randrange(1, 6))) + "<p>last</p>") for i in range(150)]
+    host = lambda url: re.match(r"([a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*))?", url or "")[2] or ""
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = brute_tree([(host(u).lower(), h) for _, u, h in rows])
+    got = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    assert [got[r[0]] for r in rows] == want
+    assert {r.page_id: r.text for r in html_text.main_text(df, broadcast_nodes=0).collect()} == got
+    off = {r[0]: "\n\n".join(html_text.blocks(r[2] or "")) for r in rows}
+    assert sum(off[i] != got[i] for i in got) > 0.9 * len(got)  # it is the tree that removes
+    articles = {r[0]: re.sub(r"\s+", " ", r[2]) for r in rows if r[0] < 10_000}
+    assert all("</nav>" not in got[i] and got[i] for i in articles)
+
+
+def test_html_blocks(spark):
+    pages = [
+        "<nav>x</nav><div class='content'><h1>T &amp; t</h1><p>a<b>b</b> c<br>d<p>e&nbsp;f<div id=comments>zz</div></div><footer>q</footer>",
+        "<article><header><h1>Hi</h1></header><p>one\n two</p><ul><li>a<li>b</ul><form>no</form><section class='comments'><article><p>bad</p></article></section><p>end &lt;x&gt; &am</article><p>out</p>",
+        "<p>x <!-- <p>no</p> --> y</p><script>var t='</p>';</script>z<!-- open <p>gone", None, "", "<style>p{}", "<a<a<a" * 2000 + "5 < 6", "<div title='a>b'>c</div>",
+        "<p>a <span class=ad>buy</span> b</p><p>" + "x" * 50,
+    ]
+    rows = [(i, f"http://h{i}/", p) for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(6)] == ["T & t\n\nab c d\n\ne f", "Hi\n\none two\n\na\n\nb\n\nend <x> &am", "x y\n\nz", "", "", ""]
+    assert got[6] != "" and got[7] == "c" and got[8] == "a\n\nb\n\n" + "x" * 50
+
+
+def test_very_long_pages():
+    import time
+
+    began = time.perf_counter()
+    for page in ("<p class='a'>word &amp; more</p>" * 60_000, "<p title=\"" * 60_000, "<div>" * 3_000 + "deep", "x" * 2_000_000, "<a href='" + "y" * 2_000_000, "< " * 500_000):
+        html_text.parsed(page)
+    assert time.perf_counter() - began < 60
 
 
 def test_quality_counts_against_brute_force(spark):
