@@ -4,15 +4,21 @@ Documents are classed by the connected components of "multiset Jaccard of five-w
 at least 0.8". 128 places in 32 bands of 4 rows find a pair at 0.8 with probability 1 - 5e-8.
 Candidates are verified with the exact overlap of the shingle multisets.
 
-No bucket is expanded into its pairs, and yet no pair that shares a bucket is left undecided. The
-member with the most band mates is the bucket's centre; every member is compared exactly with the
-centre (a star), which links most of a group of copies. Two members X and Y that the star leaves
-in different classes are settled by their deviations from the same centre O, the symmetric
-differences Dx and Dy of the multisets: |X ^ Y| = |Dx| + |Dy| - 2 |Dx & Dy|, so a similarity of
-0.8 asks for at least t = (|Dx| + |Dy| - (|X| + |Y|) / 9) / 2 shared deviations, and t is positive
-whenever X or Y is not linked to O. Deviations ordered from rare to common, X and Y must meet in
-the first |D| - t + 1 of each; an equi-join on (centre, deviation) over these prefixes yields the
-few pairs left, which are verified exactly like the others.
+No bucket is expanded into its pairs, and yet no pair that shares a bucket is left undecided.
+Buckets are first cut into windows of sizes from s to s * 1.25 ^ 2 that overlap by half, since
+similar texts lie within a factor of 1.25. The member with the most band mates is a bucket's centre;
+every member is compared exactly with the centre (a star), which links most of a group of copies.
+Two members X and Y that the star leaves in different classes are settled by their deviations from
+the same centre O, the symmetric differences Dx and Dy of the multisets: |X ^ Y| = |Dx| + |Dy| -
+2 |Dx & Dy|, so a similarity of 0.8 asks for at least t = (ex + ey) / 2 shared deviations, with
+ex = |Dx| - |X| / 9, and for |Dx| - |X| / 4 of them at least. With the least ey of the star in place of
+ey, and deviations ordered from rare to common, X and Y must meet in the first |D| - t + 1 of each.
+Members of different classes that meet on (centre, deviation) are compared pair by pair where
+they are few; where they are many they are a bucket of their own, which gets its own centre in
+the next round. The number that counts as few grows fourfold by round, so rounds are few.
+
+Keys that may be hot are salted: a centre's members by `salts` that keep about PER_KEY of them to a
+key, deviations likewise with counts made per salt before they meet.
 
 A text is known by its 64-bit hash throughout (n texts hold two of one hash with probability
 n^2 / 2^65); ids are only looked up at the end, so they may be null or stand on several texts.
@@ -20,21 +26,25 @@ n^2 / 2^65); ids are only looked up at the end, so they may be null or stand on
 Defined results: equal texts are one class whatever they hold; null is an empty text; a text of
 fewer than five words is one shingle of all its words; texts without a word are linked to equal
 texts only; class_id is the smallest doc_id of the class, null where all are null; rows that
-repeat a doc_id have the class of their own text each; an empty table gives an empty result;
-columns other than id and text are ignored.
+repeat a doc_id have the class of their own text each; texts of any length are read whole; an
+empty table gives an empty result; columns other than id and text, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import bagminhash, common
 
+#: Rows that a salted key gets of a hot one, about; salts at most; members of a group compared pair by pair in the first round.
+PER_KEY, MOST_SALTS, FEW = 4096, 4096, 16
+
 
 def multisets(part_data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, rows = common.words(part_data, offsets)
@@ -106,44 +116,77 @@ def _compared(deviations: bool):
     return run
 
 
-def compared(pairs: DataFrame, texts: DataFrame, deviations: bool = False) -> DataFrame:
-    """The pairs (a, b) with their exact similarity, sizes and deviations."""
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(
-        texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a"
-    )
+def _salts(rows: int) -> int:
+    return max(1, min(MOST_SALTS, -(-rows // PER_KEY)))
+
+
+def _salt(of: str, salts: int) -> Column:
+    return F.pmod(F.xxhash64(of), F.lit(salts).cast("long"))
+
+
+def compared(pairs: DataFrame, texts: DataFrame, salts: int, deviations: bool = False) -> DataFrame:
+    """The pairs (a, b) with their exact similarity, sizes and deviations; a's text goes once to each of its salts."""
+    dealt = pairs.withColumn("salt", _salt("b", salts))
+    of_a = dealt.select("a", "salt").distinct().join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    both = dealt.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(of_a, ["a", "salt"])
     schema = "a long, b long, similarity double, n_a long, n_b long" + (", units array<long>" if deviations else "")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_compared(deviations), schema)
 
 
-def undecided(stars: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of members of one star that may be similar and are in different classes, by their deviations from the centre."""
+def with_totals(rows: DataFrame, keys: list[str], salts: int, totals: dict[str, tuple[Column, Callable]]) -> DataFrame:
+    """The rows with aggregates of their key beside them: made per key and salt, merged per key, and joined per key and salt."""
+    salted = rows.withColumn("salt", _salt("x", salts))
+    parts = salted.groupBy(*keys, "salt").agg(*[column.alias(name) for name, (column, _) in totals.items()])
+    whole = parts.groupBy(*keys).agg(*[merged(name).alias(name) for name, (_, merged) in totals.items()])
+    return salted.join(parts.select(*keys, "salt").join(whole, keys), [*keys, "salt"]).drop("salt")
+
+
+def undecided(stars: DataFrame, classes: DataFrame, threshold: float, salts: int) -> DataFrame:
+    """(key, x, linked, class_id, n, d, m, members): members of different classes of one star that meet on a deviation and may be similar."""
     q = (1 - threshold) / (1 + threshold)
-    member = stars.select(F.col("a").alias("centre"), F.col("b").alias("x"), "n_b", "n_a", (F.col("similarity") >= threshold).alias("linked"), "units")
-    member = member.join(classes.withColumnRenamed("id", "x"), "x", "left").withColumn("class_id", F.coalesce("class_id", "x")).withColumn("d", F.size("units"))
+    member = stars.select(F.col("a").alias("centre"), F.col("b").alias("x"), F.col("n_b").alias("n"), (F.col("similarity") >= threshold).alias("linked"), "units")
+    member = member.join(classes.toDF("x", "class_id"), "x", "left").withColumn("class_id", F.coalesce("class_id", "x"))
+    member = member.withColumn("d", F.size("units")).withColumn("e", F.col("d") - F.col("n") * q)
+    least = {"low_apart": (F.min(F.when(~F.col("linked"), F.col("e"))), F.min), "low_linked": (F.min(F.when(F.col("linked"), F.col("e"))), F.min)}
+    member = with_totals(member, ["centre"], salts, least).where("low_apart IS NOT NULL")  # a star of linked members is one class
+    member = common.written(member, "members")
     unit = member.select("centre", "x", F.explode("units").alias("unit"))
-    rarity = unit.groupBy("centre", "unit").agg(F.count("*").alias("df")).where("df > 1")
-    ordered = unit.join(rarity, ["centre", "unit"]).groupBy("centre", "x").agg(F.array_sort(F.collect_list(F.struct("df", "unit"))).alias("shared"))
+    unit = with_totals(unit, ["centre", "unit"], salts, {"df": (F.count("*"), F.sum)}).where("df > 1")
+    ordered = unit.groupBy("centre", "x").agg(F.array_sort(F.collect_list(F.struct("df", "unit"))).alias("shared"))
     at_least = lambda t: F.greatest(F.lit(1), F.ceil(t - 1e-9)).cast("int")
-    half = at_least((F.col("d") + (F.col("n_a") - F.col("n_b")) * q) / 2)
-    far = at_least(F.col("d") - F.col("n_b") * ((1 - threshold) / threshold))
-    known = common.written(
-        ordered.join(member.drop("units"), ["centre", "x"]).withColumn("m", F.size("shared"))
-        .select("centre", "x", "linked", "class_id", F.col("n_b").alias("n"), "d", "m", "shared", half.alias("half"), far.alias("far")),
-        "deviations",
-    )
-
-    def prefix(rows: DataFrame, t: str, side: str) -> DataFrame:
-        units = F.explode(F.expr(f"slice(shared, 1, greatest(m - {t} + 1, 0))")).alias("u")
-        rows = rows.select("centre", units, *[F.col(c).alias(f"{c}_{side}") for c in ("x", "class_id", "n", "d", "m")])
-        return rows.withColumn("unit", F.col("u.unit")).drop("u")
+    of_any = F.col("d") - F.col("n") * ((1 - threshold) / threshold)
+    known = ordered.join(member.drop("units"), ["centre", "x"]).withColumn("m", F.size("shared"))
+    with_apart = at_least(F.greatest(of_any, (F.col("e") + F.col("low_apart")) / 2))
+    with_linked = at_least(F.greatest(of_any, (F.col("e") + F.col("low_linked")) / 2))
+    known = known.select("centre", "x", "linked", "class_id", "n", "d", "m", "shared", "low_linked", with_apart.alias("with_apart"), with_linked.alias("with_linked"))
+    known = common.written(known, "deviations")
+
+    def met(rows: DataFrame, t: str, kind: int) -> DataFrame:
+        """Who meets whom: of kind 0 members that are apart, of kind 1 these and linked ones."""
+        u = F.explode(F.expr(f"slice(shared, 1, greatest(m - {t} + 1, 0))")).alias("u")
+        return rows.select(u, "centre", F.lit(kind).alias("kind"), "x", "linked", "class_id", "n", "d", "m").withColumn("unit", F.col("u.unit")).drop("u")
 
+    apart, linked = known.where(~F.col("linked")), known.where("linked")
+    rows = met(apart, "with_apart", 0).union(met(apart.where("low_linked IS NOT NULL"), "with_linked", 1)).union(met(linked, "with_apart", 1))
+    totals = {
+        "members": (F.count("*"), F.sum), "linked_members": (F.count(F.when(F.col("linked"), 1)), F.sum),
+        "low_class": (F.min("class_id"), F.min), "high_class": (F.max("class_id"), F.max),
+    }
+    rows = with_totals(rows, ["centre", "unit", "kind"], salts, totals).where("low_class <> high_class AND (kind = 0 OR linked_members > 0 AND linked_members < members)")
+    out = common.written(rows.select(F.xxhash64("centre", "unit", "kind").alias("key"), "kind", "x", "linked", "class_id", "n", "d", "m", "members"), "met")
+    for table in (member, known):
+        common.discard(table)
+    return out
+
+
+def fitting(met: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different classes that meet, where sizes and deviations allow the threshold."""
+    q = (1 - threshold) / (1 + threshold)
+    x, y = (met.select("key", "kind", *[F.col(c).alias(f"{c}_{side}") for c in ("x", "linked", "class_id", "n", "d", "m")]) for side in "ab")
     fits = (F.col("class_id_a") != F.col("class_id_b")) & (F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b"))
     fits &= (F.col("d_a") + F.col("d_b") - (F.col("n_a") + F.col("n_b")) * q) / 2 <= F.least("m_a", "m_b") + F.lit(1e-9)
-    apart, linked = known.where(~F.col("linked")), known.where("linked")
-    one = prefix(apart, "far", "a").join(prefix(linked, "half", "b"), ["centre", "unit"]).where(fits)
-    two = prefix(apart, "half", "a").join(prefix(apart, "half", "b"), ["centre", "unit"]).where(fits & (F.col("x_a") < F.col("x_b")))
-    pairs = one.select("x_a", "x_b").union(two.select("x_a", "x_b"))
-    return pairs.select(F.least("x_a", "x_b").alias("a"), F.greatest("x_a", "x_b").alias("b")).distinct()
+    fits &= F.when(F.col("kind") == 0, F.col("x_a") < F.col("x_b")).otherwise(F.col("linked_a") & ~F.col("linked_b"))
+    return x.join(y, ["key", "kind"]).where(fits).select(F.least("x_a", "x_b").alias("a"), F.greatest("x_a", "x_b").alias("b")).distinct()
 
 
 def components(edges: DataFrame, name: str = "classes") -> DataFrame:
@@ -167,36 +210,72 @@ def components(edges: DataFrame, name: str = "classes") -> DataFrame:
             return labels
 
 
+def linked_classes(buckets: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(id, class_id) of the texts (id, text) that are linked to others, by rounds of stars over the buckets (key, rep, members), which are discarded."""
+    linked = F.col("similarity") >= threshold
+    labels, few = None, FEW
+    while True:
+        mates = common.written(buckets.groupBy("rep").agg(F.sum("members").alias("mates")), "mates")
+        ranked = buckets.join(mates, "rep")
+        centres = ranked.groupBy("key").agg(F.min(F.struct((-F.col("mates")).alias("mates"), "rep")).alias("c")).select("key", F.col("c.rep").alias("a"))
+        pairs = common.written(buckets.join(centres, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
+        salts = _salts(pairs.count())
+        stars = common.written(compared(pairs, texts, salts, deviations=True), "stars")
+        labels = merged(labels, stars.where(linked).select("a", "b"))
+        met = undecided(stars, labels, threshold, salts)
+        close = common.written(fitting(met.where(F.col("members") <= few), threshold), "close-pairs")
+        more = common.written(compared(close, texts, _salts(close.count())).where(linked).select("a", "b"), "links")
+        labels = merged(labels, more)
+        for table in (buckets, mates, centres, pairs, stars, close, more):
+            common.discard(table)
+        buckets = common.written(met.where(F.col("members") > few).select("key", F.col("x").alias("rep"), "members"), "buckets")
+        common.discard(met)
+        if not buckets.limit(1).count():
+            common.discard(buckets)
+            return labels
+        few *= 4
+
+
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The classes (id, class_id) after more links (a, b) between ids; the old table is discarded."""
+    if labels is None:
+        return components(links)
+    if not links.limit(1).count():
+        return labels
+    of = lambda side, name: labels.toDF(side, name)
+    between = links.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left").select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
+    between = common.written(between, "between")
+    final = components(between.select(F.col("x").alias("a"), F.col("y").alias("b"))).toDF("class_id", "final")
+    ends = between.select(F.explode(F.array("a", "b")).alias("id"), F.lit(None).cast("long").alias("class_id")).distinct()
+    every = labels.union(ends.select("id", F.col("id").alias("class_id")).join(labels.select("id"), "id", "left_anti"))
+    out = common.written(every.join(final, "class_id", "left").select("id", F.coalesce("final", "class_id").alias("class_id")), "classes")
+    for table in (labels, between, final):
+        common.discard(table)
+    return out
+
+
 def classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, band_rows: int) -> DataFrame:
     """(id, text_key, label, class_id) of each row; a class has one label, and rows of one text_key (xxhash64 of the text) one class."""
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"))
     signed = common.written(plain.mapInArrow(_sign(bands * band_rows, bands), "id long, text_key long, n long, bands array<long>"), "signed")
-    distinct = common.written(signed.groupBy("text_key").agg(F.min("id").alias("first_id"), F.first("bands").alias("bands")), "distinct")
-
-    rows = distinct.select(F.explode("bands").alias("key"), F.col("text_key").alias("rep"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    buckets = common.written(rows.join(shared, "key"), "buckets")
-    mates = common.written(buckets.groupBy("rep").agg(F.sum("members").alias("mates")), "mates")
-    ranked = buckets.join(mates, "rep")
-    centres = ranked.groupBy("key").agg(F.min(F.struct((-F.col("mates")).alias("mates"), "rep")).alias("c")).select("key", F.col("c.rep").alias("a"))
-    pairs = buckets.join(centres, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    distinct = common.written(signed.groupBy("text_key").agg(F.min("id").alias("first_id"), F.first("bands").alias("bands"), F.first("n").alias("n")), "distinct")
+
+    rows = distinct.select(F.explode("bands").alias("key"), F.col("text_key").alias("rep"), "n")
+    shared = common.written(rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key"), "shared-keys")  # a table, so that a skewed join with it can be split
+    step = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold) + 1e-9)  # a window holds two steps
+    windows = rows.join(shared, "key").select(F.explode(F.array(step, step - 1)).alias("window"), "key", "rep").select(F.xxhash64("key", "window").alias("key"), "rep")
+    windows = common.written(windows, "windows")
+    several = common.written(windows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "shared-windows")
+    buckets = common.written(windows.join(several, "key"), "buckets")
     # one row holds each text: the join asks for its first id too, so a text of many copies sends one
-    wanted = mates.join(distinct.select(F.col("text_key").alias("rep"), "first_id"), "rep").select("rep", "first_id")
+    wanted = buckets.select("rep").distinct().join(distinct.select(F.col("text_key").alias("rep"), "first_id"), "rep")
     held = plain.join(wanted, (plain.text_key == wanted.rep) & plain.id.eqNullSafe(wanted.first_id)).select(F.col("rep").alias("id"), "text")
     held = common.written(held.dropDuplicates(["id"]), "bucket-texts")
-
-    stars = common.written(compared(pairs, held, deviations=True), "stars")
-    linked = F.col("similarity") >= threshold
-    labels = components(stars.where(linked).select("a", "b"))
-    more = common.written(compared(undecided(stars, labels, threshold), held).where(linked).select("a", "b"), "links")
-    texts = distinct.select("text_key", "first_id")
-    own = texts.join(labels.toDF("text_key", "label"), "text_key", "left").select("text_key", "first_id", F.coalesce("label", "text_key").alias("label"))
-    if more.limit(1).count():
-        of = own.select("text_key", "label")
-        merged = more.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        final = components(merged).toDF("label", "merged")
-        own = own.join(final, "label", "left").select("text_key", "first_id", F.coalesce("merged", "label").alias("label"))
+    labels = linked_classes(buckets, held, threshold)
+    own = distinct.select("text_key", "first_id").join(labels.toDF("text_key", "label"), "text_key", "left").select("text_key", "first_id", F.coalesce("label", "text_key").alias("label"))
     own = common.written(own, "own-classes")
+    for table in (distinct, shared, windows, several, held, labels):
+        common.discard(table)
     # a class of one text has its own first id; only classes of several texts are looked up by label
     several = own.groupBy("label").agg(F.min("first_id").alias("class_id"), F.count("*").alias("n")).where("n > 1").select("label", "class_id", F.lit(True).alias("several"))
     named = own.join(several, "label", "left").select("text_key", "label", F.when(F.col("several"), F.col("class_id")).otherwise(F.col("first_id")).alias("class_id"))

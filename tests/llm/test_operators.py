@@ -152,6 +152,37 @@ def test_near_duplicates_against_brute_force(spark):
     assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(small).collect()} == classes_by_brute_force([tuple(r) for r in small.collect()])
 
 
+def test_templates_against_brute_force(spark):
+    """Many texts around one template, some similar to each other, most not: what all lack of the centre must not bring all together."""
+    rng = random.Random(21)
+    fresh = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    stem = fresh(120)
+    rows = []
+    for i in range(260):
+        rows.append((i, " ".join(stem[: rng.choice([60, 100, 104, 108])] + fresh(rng.choice([3, 8, 12, 16, 22])))))
+    for i in range(120):  # members that share more with each other than with the template
+        rows.append((1000 + i, " ".join(stem[:100] + [f"g{i // 12}x{k}" for k in range(18)] + fresh(rng.randrange(3)))))
+    rows += [(2000 + i, " ".join(stem)) for i in range(3)] + [(3000 + i, " ".join(stem + stem[: 3 * i])) for i in range(30)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = classes_by_brute_force(rows)
+    assert len(set(want.values())) > 20
+    for few in (16, 2):  # the second makes rounds
+        near_dedup.FEW = few
+        try:
+            assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()} == want
+        finally:
+            near_dedup.FEW = 16
+
+
+def test_salted_keys_change_nothing(spark, monkeypatch):
+    rows = [(r.doc_id, r.text) for r in common.table(spark, SMALL, "documents").collect()][:120]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = classes_by_brute_force(rows)
+    monkeypatch.setattr(near_dedup, "PER_KEY", 2)
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()} == want
+
+
 def test_near_duplicates_of_null_and_repeated_ids(spark):
     rng = random.Random(5)
     base = [[f"w{rng.randrange(10**6)}" for _ in range(90)] for _ in range(4)]
