@@ -2,15 +2,16 @@
 
 A line (split at "\\n") is normalised - ASCII letters folded, digits zeroed, white space
 collapsed - and hashed. For each host the number of *distinct texts* that hold a line is
-counted, so exact copies of one document never make its lines look like boilerplate. Lines
-held by at least `min_docs` texts and `max_share` of the host's texts are removed; a document
-left with less than `keep_share` of its words is depleted and rejected. quality_rules() tells
-what it found of each document, cleaned() yields the documents that stay without those lines.
+counted, so exact copies of one document never make its lines look like boilerplate (with
+`count="documents"` every row counts by itself). Lines held by at least `min_docs` texts and
+`max_share` of the host's texts are removed; a document left with fewer than `min_words` words,
+or with less than `keep_share` of its words, is depleted and rejected. quality_rules() tells what
+it found of each document, cleaned() yields the documents that stay without those lines.
 
 Defined results: null text is an empty text; empty texts have no words and fail the base rule;
 null hosts form one host of their own; rows of null id are rows like any other, known by their
-text; repeated rows give repeated results; columns other than
-the named three are ignored; an empty table gives an empty result.
+text; repeated rows give repeated results; texts of any length are read whole; columns other than
+the named three, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -131,20 +132,23 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     return docs.select(F.col(id_col).cast("long").alias("id"), _host(host_col).alias("host"), F.col(text_col).alias("text"), _text_key(text_col).alias("text_key")).mapInArrow(_features, FEATURES)
 
 
-def frequent_lines(feats: DataFrame, min_docs: int, max_share: float) -> DataFrame:
-    """(host, line, n_docs) of the lines above the limits, counted over distinct texts."""
-    lines = feats.select("host", "text_key", F.explode("line_keys").alias("line"))
-    counted = lines.groupBy("host", "line").agg(F.countDistinct("text_key").alias("n_docs")).where(F.col("n_docs") >= min_docs)
-    hosts = feats.groupBy("host").agg(F.countDistinct("text_key").alias("host_docs"))
+def frequent_lines(feats: DataFrame, min_docs: int, max_share: float, count: str = "texts") -> DataFrame:
+    """(host, line, n_docs) of the lines above the limits, counted over distinct texts, or over all documents."""
+    if count not in ("texts", "documents"):
+        raise ValueError(f"count must be texts or documents, not {count}")
+    lines = feats.select("host", "text_key", F.explode(F.array_distinct("line_keys")).alias("line"))
+    many = F.countDistinct("text_key") if count == "texts" else F.count("*")
+    counted = lines.groupBy("host", "line").agg(many.alias("n_docs")).where(F.col("n_docs") >= min_docs)
+    hosts = feats.groupBy("host").agg(many.alias("host_docs"))
     return counted.join(hosts, "host").where(F.col("n_docs") >= F.col("host_docs") * F.lit(max_share)).select("host", "line", "n_docs")
 
 
 def verdicts(
-    docs: DataFrame, id_col: str, text_col: str, host_col: str, min_words: int, max_repeat: int, min_docs: int, max_share: float, keep_share: float
+    docs: DataFrame, id_col: str, text_col: str, host_col: str, min_words: int, max_repeat: int, min_docs: int, max_share: float, keep_share: float, count: str
 ) -> DataFrame:
     """One row per document: id, host, text_key, its counts, words removed with frequent lines and those lines' keys, base_failed and kept."""
     feats = common.written(features(docs, id_col, text_col, host_col), "quality-features")
-    frequent = common.written(frequent_lines(feats, min_docs, max_share), "quality-lines")
+    frequent = common.written(frequent_lines(feats, min_docs, max_share, count), "quality-lines")
     small = frequent.count() <= BROADCAST_LINES
     lines = feats.select(*ROW, F.explode(F.arrays_zip("line_keys", "line_words")).alias("l")).select(
         *ROW, F.col("l.line_keys").alias("line"), F.col("l.line_words").alias("words")
@@ -165,16 +169,16 @@ def verdicts(
         _joined(feats.drop("line_keys", "line_words"), removed, "left")
         .withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
         .withColumn("base_failed", failed)
-        .withColumn("kept", ~failed & (left >= F.lit(keep_share) * F.col("n_words")))
+        .withColumn("kept", ~failed & (left >= min_words) & (left >= F.lit(keep_share) * F.col("n_words")))
     )
 
 
 def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-    min_words: int = 50, max_repeat: int = 50, min_docs: int = 20, max_share: float = 0.01, keep_share: float = 0.2,
+    min_words: int = 50, max_repeat: int = 50, min_docs: int = 5, max_share: float = 0.01, keep_share: float = 0.5, count: str = "texts",
 ) -> DataFrame:
     """One row per document: its counts, words removed with frequent lines, base_failed and kept."""
-    return verdicts(docs, id_col, text_col, host_col, min_words, max_repeat, min_docs, max_share, keep_share).select(
+    return verdicts(docs, id_col, text_col, host_col, min_words, max_repeat, min_docs, max_share, keep_share, count).select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words"
     )
 
@@ -211,10 +215,10 @@ def _without_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def cleaned(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars",
-    min_words: int = 50, max_repeat: int = 50, min_docs: int = 20, max_share: float = 0.01, keep_share: float = 0.2,
+    min_words: int = 50, max_repeat: int = 50, min_docs: int = 5, max_share: float = 0.01, keep_share: float = 0.5, count: str = "texts",
 ) -> DataFrame:
     """The documents that stay, in their own columns: their texts without the frequent lines, the length of a changed text following it."""
-    rated = verdicts(docs, id_col, text_col, host_col, min_words, max_repeat, min_docs, max_share, keep_share)
+    rated = verdicts(docs, id_col, text_col, host_col, min_words, max_repeat, min_docs, max_share, keep_share, count)
     told = rated.where(~F.col("kept") | F.col("removed_lines").isNotNull()).select(*ROW, "kept", "removed_lines").dropDuplicates(ROW)
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).cast("long").alias("id"), _host(host_col).alias("host"), _text_key(text_col).alias("text_key"))
     rows = _joined(rows, told, "left").where("kept IS NULL OR kept")
@@ -234,12 +238,12 @@ lw AS (SELECT *, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ1
 lines AS (SELECT * FROM lw WHERE len(lws) > 0),
 dup AS (SELECT doc_id, sum(CASE WHEN rn > 1 THEN 1 ELSE 0 END) AS n_dup FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) AS rn FROM lines) GROUP BY 1),
 hosts AS (SELECT host, count(DISTINCT text) AS host_docs FROM d GROUP BY 1),
-freq AS (SELECT host, line, n_docs FROM (SELECT host, array_to_string(lws, ' ') AS line, count(DISTINCT text) AS n_docs FROM lines GROUP BY 1, 2) JOIN hosts USING (host) WHERE n_docs >= 20 AND n_docs >= host_docs * 0.01),
+freq AS (SELECT host, line, n_docs FROM (SELECT host, array_to_string(lws, ' ') AS line, count(DISTINCT text) AS n_docs FROM lines GROUP BY 1, 2) JOIN hosts USING (host) WHERE n_docs >= 5 AND n_docs >= host_docs * 0.01),
 gone AS (SELECT doc_id, sum(len(lws)) AS removed FROM lines JOIN freq ON lines.host = freq.host AND array_to_string(lws, ' ') = freq.line GROUP BY 1),
 base AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
   CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines,
   CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(removed, 0) AS BIGINT) AS removed_words
   FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN gone USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - removed_words >= 0.2 * n_words AS kept, removed_words FROM base
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - removed_words >= 50 AND n_words - removed_words >= 0.5 * n_words AS kept, removed_words FROM base
 """
