@@ -3,15 +3,18 @@
 A text is the mean, over all its places, of hashed byte n-grams (one to four bytes, ASCII letters
 folded, everything in ASCII that is no letter a blank), so a score is the mean of the weights at
 its places: every byte counts and no prefix is special. Linear support vector machines (squared
-hinge) are trained on the driver on a sample bounded by `per_language` texts of each of at most
-`languages` languages, in the order of a hash of their id. Pairs of families vote first; pairs
-within the chosen family vote next. Languages without an entry in FAMILIES are families of their
-own.
+hinge) are trained on the driver for every lang value that occurs, on a sample bounded by
+`per_language` rows of each and `sample_rows` in all (20 a language at least) and by `sample_bytes`
+of text (rows in the order of a hash of their id, those that would pass the bound left out). Pairs of
+families vote first; pairs within the chosen family vote next. Languages without an entry in
+FAMILIES are families of their own.
 
 Defined results: `und` with score 0 where the text is null or has no letter; rows whose lang is
-null or whose text has no letter are not learnt from; with nothing to learn from all is `und`;
-with one language all texts with letters get it; rows that repeat get equal results; an empty
-table gives an empty result; columns other than those named are ignored.
+null or whose text has no letter are not learnt from; where an id repeats the smallest (lang, text)
+is learnt; with nothing to learn from all is `und`; with one language all texts with letters get it;
+votes that tie go by margins, then to the first name; rows that repeat get equal results; rows of
+null id are never held out; texts of any length are read whole; an empty table gives an empty
+result; columns other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm import common
@@ -197,25 +200,36 @@ def _predictions(held):
     return run
 
 
-def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, languages: int, folds: int, fold: int) -> Model:
+def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, sample_rows: int, sample_bytes: int, folds: int, fold: int) -> Model:
     spark = docs.sparkSession
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.coalesce(~held_out("id", folds, fold), F.lit(False)))
-    common_first = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    chosen = [tuple(r) for c in common_first for r in known.where(F.col("lang") == c.lang).select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(per_language).collect()]
+    names = known.select("lang").distinct().count()
+    per_language = min(per_language, max(20, sample_rows // max(names, 1)))
+    # Spark keeps no more rows of a language than these before the shuffle (a group limit), so a common language doesn't meet in one task
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    chosen = [r.id for r in known.withColumn("place", place).where(F.col("place") <= per_language).select("id").distinct().collect()]
     if not chosen:
         return Model()
-    sample = F.broadcast(spark.createDataFrame(chosen, "id long"))  # at most languages x per_language
+    sample = F.broadcast(spark.createDataFrame([(i,) for i in chosen], "id long"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(sample, "id").where("text is not null and lang is not null")
-    pairs = sorted((r.id, r.lang, r.text) for r in rows.dropDuplicates(["id"]).toLocalIterator())
+    rows = common.written(rows.groupBy("id").agg(F.min(F.struct("lang", "text")).alias("r")).select("id", "r.lang", "r.text", F.xxhash64("id").alias("place")), "language-sample")
+    kept, size = [], 0
+    for r in sorted(rows.select("id", "place", F.octet_length("text").alias("n")).collect(), key=lambda r: (r.place, r.id)):
+        if size + r.n <= sample_bytes:
+            kept, size = [*kept, (r.id,)], size + r.n
+    fits = spark.createDataFrame(kept, "id long")
+    pairs = sorted((r.id, r.lang, r.text) for r in rows.join(F.broadcast(fits), "id").toLocalIterator())
+    common.discard(rows)
     pairs = [(lang, text.encode()) for _, lang, text in pairs if any(ch.isalpha() for ch in text)]
     return fit_texts([t for _, t in pairs], [lang for lang, _ in pairs]) if pairs else Model()
 
 
 def identify(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, languages: int = 32, folds: int = 3, fold: int = 1
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, sample_rows: int = 6400,
+    sample_bytes: int = 64_000_000, folds: int = 3, fold: int = 1
 ) -> DataFrame:
     """id, held_out, lang_pred and score for every document."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col, per_language, languages, folds, fold))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col, per_language, sample_rows, sample_bytes, folds, fold))
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held_out(id_col, folds, fold), F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     out = plain.mapInArrow(_predictions(model), "id long, held_out boolean, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)
