@@ -9,11 +9,15 @@ Packing: pieces are dealt by hash into groups of about `group_pieces`, so tasks
 whatever the corpus. Within a group, best-fit decreasing gives the first incumbent; then bins are
 completed around the largest piece left: undominated fillings of its residual space are tried in
 order of waste, a branch is cut when its waste exceeds what one sequence less than the incumbent
-allows, and the search ends at the lower bound or after `nodes` nodes. A group costs at most one
-partly filled sequence more than one global packing.
+allows. The search is of limited discrepancy: it keeps the best 4 of 48 fillings visited for each
+sequence, and where it runs out of these above the lower bound it begins again with four times as
+many, until it ends at the bound, has left none out, or has spent `nodes` nodes in all. A group costs
+at most one partly filled sequence more than one global packing.
 
 Defined results: null is an empty text; an empty text is the single id 0; rows that repeat are
-packed once each; an empty table gives an empty result; columns other than id and text are ignored.
+packed once each, dealt to groups like other rows; pieces of one length are taken in the order of
+id, piece and row; texts of any length are read whole; an empty table gives an empty result; columns
+other than id and text, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,7 +127,7 @@ def _atoms(path: str) -> Atoms:
 
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = _atoms(path)
+        store, row_of_task, task = _atoms(path), 0, TaskContext.get().partitionId() << 40
         for batch in batches:
             for part, data, offsets in common.steps(batch):
                 ids, bounds = store.encode(data, offsets)
@@ -138,10 +143,11 @@ def _pieces(path: str, capacity: int):
                     own = np.ascontiguousarray(own, dtype="<u4")
                     for k, start in enumerate(range(0, len(own), capacity)):
                         piece = own[start : start + capacity]
-                        out.append((doc, k, start, len(piece), zlib.crc32(piece)))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                        out.append((doc, k, start, len(piece), zlib.crc32(piece), task + row_of_task))
+                    row_of_task += 1
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[k] for x in out], kinds[k]) for k in range(5)], names=["id", "piece", "start", "length", "ids_crc32"]
+                    [pa.array([x[k] for x in out], kinds[k]) for k in range(6)], names=["id", "piece", "start", "length", "ids_crc32", "row"]
                 )
 
     return run
@@ -195,8 +201,8 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def fillings(sizes: _Sizes, room: int, most: int, tries: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of a residual space, least waste first, at most `most` of up to `tries` visited."""
+def fillings(sizes: _Sizes, room: int, most: int, tries: int) -> tuple[list[tuple[int, ...]], bool]:
+    """Undominated fillings of a residual space, least waste first, at most `most` of up to `tries` visited; and whether any may be left out."""
     found: list[tuple[int, tuple[int, ...]]] = []
     left = [tries]
 
@@ -235,18 +241,25 @@ def fillings(sizes: _Sizes, room: int, most: int, tries: int) -> list[tuple[int,
             limit -= x
         for x in greedy:
             sizes.put(x)
-        return [tuple(greedy)]
+        return [tuple(greedy)], left[0] <= 0
     found.sort(key=lambda f: (f[0], len(f[1])))
-    return [f for _, f in found[:most]]
+    return [f for _, f in found[:most]], left[0] <= 0 or len(found) > most
 
 
 def bin_completion(lengths: list[int], capacity: int, nodes: int = 6000, most: int = 4, tries: int = 48) -> list[list[int]]:
     """As few bins as the search finds; never more than best-fit decreasing."""
     incumbent = best_fit(lengths, capacity)
-    total = sum(lengths)
-    bound = max(-(-total // capacity), sum(2 * x > capacity for x in lengths))
-    if len(incumbent) <= bound:
-        return incumbent
+    bound = max(-(-sum(lengths) // capacity), sum(2 * x > capacity for x in lengths))
+    left_out = True
+    while left_out and nodes > 0 and len(incumbent) > bound:
+        incumbent, nodes, left_out = _search(lengths, capacity, incumbent, bound, nodes, most, tries)
+        most, tries = 4 * most, 4 * tries
+    return incumbent
+
+
+def _search(lengths: list[int], capacity: int, incumbent: list[list[int]], bound: int, nodes: int, most: int, tries: int) -> tuple[list[list[int]], int, bool]:
+    """The best bins found, the nodes left, and whether some filling was left out."""
+    total, left_out = sum(lengths), False
     sizes = _Sizes(lengths, capacity)
     stack: list[tuple[int, list[tuple[int, ...]], int]] = []  # largest, fillings not yet tried, waste before it
     bins: list[list[int]] = []
@@ -262,7 +275,8 @@ def bin_completion(lengths: list[int], capacity: int, nodes: int = 6000, most: i
         elif waste <= allowed:
             largest = sizes.mask.bit_length() - 1
             sizes.take(largest)
-            options = fillings(sizes, capacity - largest, most, tries)
+            options, cut = fillings(sizes, capacity - largest, most, tries)
+            left_out |= cut
             sizes.put(largest)
             stack.append((largest, options[::-1], waste))
             bins.append([])
@@ -279,7 +293,7 @@ def bin_completion(lengths: list[int], capacity: int, nodes: int = 6000, most: i
             sizes.take(x)
         left -= len(bins[-1])
         waste += capacity - sum(bins[-1])
-    return incumbent
+    return incumbent, nodes, left_out
 
 
 def _undo(sizes: _Sizes, taken: list[int]) -> int:
@@ -290,7 +304,7 @@ def _undo(sizes: _Sizes, taken: list[int]) -> int:
 
 def _pack_group(capacity: int, nodes: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        rows = rows.sort_values(["length", "id", "piece", "row"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         lengths = rows["length"].tolist()
         negative = [-x for x in lengths]
         next_of = {x: bisect_left(negative, -x) for x in set(lengths)}
@@ -302,7 +316,7 @@ def _pack_group(capacity: int, nodes: int):
                 next_of[x] = i + 1
                 sequence[i], offset[i] = (int(key[0]) << 32) + b, place
                 place += x
-        return rows.drop(columns="bucket").assign(sequence_id=sequence, offset=offset)
+        return rows.drop(columns=["bucket", "row"]).assign(sequence_id=sequence, offset=offset)
 
     return run
 
@@ -312,9 +326,9 @@ def pack(
 ) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    cut = plain.mapInArrow(_pieces(tokenizer or default_tokenizer(), capacity), "id long, piece int, start long, length long, ids_crc32 long")
+    cut = plain.mapInArrow(_pieces(tokenizer or default_tokenizer(), capacity), "id long, piece int, start long, length long, ids_crc32 long, row long")
     cut = common.written(cut, "pieces")
     groups = max(1, -(-cut.count() // group_pieces))
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)))
     schema = "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return dealt.groupBy("bucket").applyInPandas(_pack_group(capacity, nodes), schema).withColumnRenamed("id", id_col)
