@@ -30,7 +30,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
     warc.write_archive(table(spark, sf_dir, "pages"), path)
-    records = warc.read_archive(spark, path)
+    records = warc.parsed(warc.read_archive(spark, path))
     return records.select(records.record_id.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
