@@ -52,7 +52,7 @@ def all_results(spark, docs, labels, benchmark, pages, path):
     warc.write_archive(pages, path)
     return {
         "1": quality_net.quality_scores(docs, labels), "2": language.identify(docs), "3": near_dedup.near_duplicates(docs), "4": decontaminate.contaminated(docs, benchmark),
-        "5": warc.read_archive(spark, path), "6": packing.pack(docs), "7": pii.report(pii.find_pii(docs)), "8": sharding.shard(docs), "9": html_text.main_text(pages), "10": quality_rules.quality_rules(docs),
+        "5": warc.parsed(warc.read_archive(spark, path)), "6": packing.pack(docs), "7": pii.report(pii.find_pii(docs)), "8": sharding.shard(docs), "9": html_text.main_text(pages), "10": quality_rules.quality_rules(docs),
     }
 
 
@@ -131,6 +131,15 @@ def classes_by_brute_force(rows):
     return {i: find(i) for i in bags}
 
 
+def test_short_items_in_long_documents(spark):
+    filler = " ".join(f"w{k}" for k in range(6000))
+    docs = spark.createDataFrame([(1, f"{filler} Big secret answer {filler}"), (2, "secret"), (3, f"{filler} six words stand here in row"), (4, "big  secret\nanswer"), (5, "big secret"), (None, "x big secret answer y")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "big SECRET answer"), (2, "secret"), (3, "six words stand here in row"), (4, "words stand here in row"), (5, "nowhere else"), (6, "answer big secret")], "item_id long, text string")
+    want = {(1, 1), (1, 2), (2, 2), (3, 3), (3, 4), (4, 1), (4, 2), (5, 2), (None, 1), (None, 2)}
+    for more in ({}, {"block_items": 1}, {"block_bytes": 10}):
+        assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items, **more).collect()} == want
+
+
 def test_near_duplicates_against_brute_force(spark):
     rng = random.Random(11)
     rows, n = [], 0
@@ -248,12 +257,16 @@ def test_archive_round_trip(spark, tmp_path):
     rows = [(5, "http://a/1", body), (3, "http://a/2", body), (9, None, body), (1, "http://a/3", "short"), (2, "http://a/4", "short"), (4, "http://a/5", None)]
     warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
     assert spark.read.parquet(str(tmp_path / "w/payloads")).count() == 3
-    for r in warc.read_archive(spark, str(tmp_path / "w")).collect():
-        fields, block = parse_warc(bytes(r.record))
+    records = warc.read_archive(spark, str(tmp_path / "w"))
+    told = {r.record_id: r for r in warc.parsed(records).collect()}
+    assert len(told) == records.count() == 6
+    for record in records.collect():
+        fields, block = parse_warc(bytes(record.record))
+        r = told[int(fields["WARC-Record-ID"][12:-1])]
         html = next(h for i, _, h in rows if i == r.record_id) or ""
         http, _, payload = block.partition(b"\r\n\r\n")
         assert r.payload_digest == hashlib.sha256(html.encode()).hexdigest() == fields["WARC-Payload-Digest"][7:]
-        assert r.payload_bytes == len(html.encode()) and f"Content-Length: {r.payload_bytes}".encode() in http
+        assert r.payload_bytes == len(html.encode()) and f"Content-Length: {r.payload_bytes}".encode() in http and bytes(record.payload) == html.encode()
         if r.record_id in (5, 9):
             assert fields["WARC-Type"] == r.record_type == "revisit" and payload == b"" and r.refers_to == 3 and fields["WARC-Refers-To"] == "<urn:record:3>"
         else:
@@ -262,8 +275,21 @@ def test_archive_round_trip(spark, tmp_path):
     damaged = spark.read.parquet(str(tmp_path / "w/payloads")).withColumn("payload", F.lit(b"x"))
     damaged.write.mode("overwrite").parquet(str(tmp_path / "bad/payloads"))
     spark.read.parquet(str(tmp_path / "w/headers")).write.parquet(str(tmp_path / "bad/headers"))
-    with pytest.raises(Exception, match="damaged payload"):
-        warc.read_archive(spark, str(tmp_path / "bad")).collect()
+    with pytest.raises(Exception, match="not the one that was archived|not of its stated length"):
+        warc.parsed(warc.read_archive(spark, str(tmp_path / "bad"))).collect()
+    for broken in (b"WARC/1.0\r\n\r\n", b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort\r\n\r\n"):
+        with pytest.raises(warc.DamagedRecord):
+            warc.parse_record(broken)
+
+
+def test_archive_of_a_frequent_payload(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "PER_KEY", 7)
+    rows = [(i, f"http://a/{i}", "x" * 200 if i % 2 else None) for i in range(1, 200)] + [(None, "http://n", "x" * 200), (None, "http://n", "own text" * 30)]
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    assert spark.read.parquet(str(tmp_path / "w/payloads")).count() == 3
+    got = warc.parsed(warc.read_archive(spark, str(tmp_path / "w"))).collect()
+    want = [(i, "response" if i == 1 or not i % 2 else "revisit", 1 if i % 2 and i > 1 else None, 200 * (i % 2)) for i in range(1, 200)] + [(None, "revisit", 1, 200), (None, "response", None, 240)]
+    assert Counter((r.record_id, r.record_type, r.refers_to, r.payload_bytes) for r in got) == Counter(want)
 
 
 def test_atoms_equal_the_tokenizer():
@@ -471,6 +497,63 @@ def test_mask(spark):
     assert got == {1: "é [EMAIL] and [PHONE].", 2: "none", 3: None}
 
 
+def ring_walk(rows, shards=16, vnodes=256):
+    """(shard, slot) of each row, by walking a ring key by key; copies of a row may trade places."""
+    from bisect import bisect_left
+
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    nodes = sorted((mix(n * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019 & mask), n // vnodes) for n in range(shards * vnodes))
+    room = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+    at = []
+    for k, (i, t) in enumerate(rows):
+        key = mix(xxhash64_of_long(i) & mask)
+        arc = bisect_left(nodes, (key, -1)) % len(nodes)
+        signed = key - (1 << 64) if key >> 63 else key
+        at.append((arc, signed, -(1 << 70) if i is None else i, zlib.crc32((t or "").encode()), len((t or "").encode()) + 1, k))
+    used, out, over = [0] * shards, {}, []
+    for a in sorted(at):
+        home = nodes[a[0]][1]
+        if used[home] < room[home]:
+            out[a[5]] = (home, used[home])
+            used[home] += 1
+        else:
+            over.append(a)
+    for a in over:
+        node = a[0]
+        while used[nodes[node][1]] >= room[nodes[node][1]]:
+            node = (node + 1) % len(nodes)
+        out[a[5]] = (nodes[node][1], used[nodes[node][1]])
+        used[nodes[node][1]] += 1
+    return [out[k] for k in range(len(rows))]
+
+
+def xxhash64_of_long(x, seed=42):
+    """Spark's xxhash64 of one bigint; the seed itself for null."""
+    if x is None:
+        return seed
+    import struct
+
+    import xxhash
+
+    return xxhash.xxh64(struct.pack("<q", x), seed=seed).intdigest()
+
+
+def test_ring_walk_of_odd_rows(spark):
+    rows = [(i % 40 if i % 3 else None, [None, "", "é", f"t{i % 7}"][i % 4]) for i in range(700)] + [(7, "same")] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda i, t: (i is None, i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))
+    want = Counter((*key(i, t), *place) for (i, t), place in zip(rows, ring_walk(rows), strict=True))
+    for chunk in (100_000, 9):
+        got = Counter((r.doc_id is None, r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in sharding.shard(docs, 16, chunk=chunk).collect())
+        assert got == want
+
+
 def test_ring(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
     rows = sharding.shard(docs, 16).collect()
@@ -481,6 +564,7 @@ def test_ring(spark):
     assert all(r.text_crc32 == zlib.crc32(f"t{r.doc_id}".encode()) and r["size"] == len(f"t{r.doc_id}") + 1 for r in rows)
     # only overflow leaves its home, and each moved row's home is full
     assert sum(r.shard != r.home_shard for r in rows) < 0.2 * len(rows)
+    assert [(r.shard, r.slot) for r in sorted(rows, key=lambda r: r.doc_id)] == ring_walk([(r.doc_id, f"t{r.doc_id}") for r in docs.collect()])
     positions, owner = sharding.ring(4, 8)
     plan = sharding.settle(np.array([30] + [0] * 31), owner, 4)
     assert sum(hi - lo for _, lo, hi, *_ in plan) == 30 and sorted(Counter(s for _, lo, hi, s, *_ in plan for _ in range(lo, hi)).values()) == [7, 7, 8, 8]
@@ -638,9 +722,103 @@ def test_frequent_lines_deplete(spark):
     rows = [(i, f"{line}\n{own(i, 60)}", "h") for i in range(60)] + [(100, f"{line}\n{own(100, 3)}", "h"), (101, f"{line}\n{own(101, 3)}", "other")] + [(200 + i, own(7, 70), "h") for i in range(50)]
     got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got[100].removed_words == 60 and not got[100].kept and got[101].kept  # counts are by host
+    few = [(i, f"{line}\n{own(i, 60)}", "h") for i in range(6)] + [(7, f"{line}\n{own(7, 49)}", "h"), (8, f"{line}\n{own(8, 50)}", "h")]
+    small = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(few, "doc_id long, text string, source string")).collect()}
+    assert {i for i, r in small.items() if not r.kept} == {7, 8} and not any(r.base_failed for r in small.values())  # 49 words are left, and 50 of 110
+    copies = spark.createDataFrame([(i, own(1, 70), "h") for i in range(9)], "doc_id long, text string, source string")
+    assert {r.kept for r in quality_rules.quality_rules(copies).collect()} == {True} and {r.kept for r in quality_rules.quality_rules(copies, count="documents").collect()} == {False}
     assert all(got[i].kept for i in range(60)) and all(got[200 + i].kept for i in range(50))  # copies don't make boilerplate
 
 
+def test_quality_scores_against_a_plain_network(spark):
+    rng = np.random.default_rng(5)
+    net = quality_net.Net(rng.normal(0, 1, (6, 256, 3)), rng.normal(0, 1, 3), rng.normal(0, 1, 3), rng.normal(0, 1, 3), 0.3)
+    texts = [b"", b"a", b"short text", bytes(rng.integers(0, 256, 255, dtype=np.uint8)), bytes(rng.integers(0, 256, 256, dtype=np.uint8)), bytes(rng.integers(0, 256, 513, dtype=np.uint8)), bytes(rng.integers(0, 256, 5000, dtype=np.uint8))]
+
+    def plain(t):
+        padded = t + bytes(6 + 512)
+        responses = [[sum(net.filters[j][padded[p + j]][f] for j in range(6)) for f in range(3)] for p in range(len(t) + 6)]
+        halves = max(1, -(-len(t) // 256))
+        top = [[max(r[f] for r in responses[256 * h : len(t) + 6 if h == halves - 1 else 256 * (h + 1)]) for f in range(3)] for h in range(halves)]
+        top = [[max(x + net.bias[f], 0) for f, x in enumerate(r)] for r in top]
+        chunks = [[max(a, b) for a, b in zip(top[h], top[h + 1], strict=True)] for h in range(halves - 1)] or top
+        z = net.shift + sum(max(c[f] for c in chunks) * net.of_max[f] + sum(c[f] for c in chunks) / len(chunks) * net.of_mean[f] for f in range(3))
+        return 1 / (1 + np.exp(-z))
+
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = 1 / (1 + np.exp(-quality_net.logits(net, data, offsets)))
+    assert np.allclose(got, [plain(t) for t in texts], atol=1e-4)
+
+
+def test_training_reads_whole_texts_and_bounds_bytes(spark):
+    filler = "plain words of a long text that say little " * 30
+    mark = ["zqxjk vvv ", "wide open "]
+    rows = [(i, filler + mark[i % 2] * 24 + filler[:1100], "en") for i in range(300)]  # bytes 1290 to 1530 tell, amid ten chunks
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    for more in ({}, {"sample_bytes": 400_000}):
+        got = quality_net.quality_scores(docs, labels, **more).where("held_out").collect()
+        assert got and all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in got)
+
+
+def test_many_languages(spark):
+    rng = random.Random(13)
+    letters = "abcdefghijklmnopqrstuvwxyzàéîõüøñčšžłđ"
+    own = {f"l{k}": rng.sample(letters, 6) for k in range(40)}
+    rows = [(1000 * k + i, " ".join("".join(rng.choice(v) for _ in range(5)) for _ in range(30)), lang) for k, (lang, v) in enumerate(own.items()) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.identify(docs, sample_rows=800).collect()
+    langs = {r[0]: r[2] for r in rows}
+    held = [r for r in got if r.held_out]
+    assert len({r.lang_pred for r in got}) == 40 and sum(r.lang_pred == langs[r.doc_id] for r in held) / len(held) > 0.9
+
+
+def test_language_votes_against_plain_loops():
+    rng = np.random.default_rng(3)
+    pairs = [("family:a", "family:b"), ("family:a", "family:c"), ("family:b", "family:c"), ("x", "y"), ("x", "z"), ("y", "z")]
+    model = language.Model({"a": ["x", "y", "z"], "b": ["u"], "c": ["v"]}, pairs, rng.normal(0, 1, (4, 1 << language.BITS, 6)).astype(np.float32), rng.normal(0, 0.1, 6))
+    texts = ["", "Ab c", "déjà vu été", "one two three four", "ЖЗ", "x" * 300] + ["".join(rng.choice(list("abcdeé ")) for _ in range(40)) for _ in range(60)]
+    raw = [t.encode() for t in texts]
+    langs, scores = model.predict(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in raw])]))
+
+    def bucket(gram):
+        code = 0
+        for b in gram:
+            code = (code * 0x01000193 & 0xFFFFFFFF) ^ ((b + 1) * 0x9E3779B1 & 0xFFFFFFFF)
+        h = (code ^ (code >> 15)) * 0x85EBCA6B & 0xFFFFFFFF
+        return h >> (32 - language.BITS)
+
+    def plain(t):
+        folded = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in t)
+        margin = dict.fromkeys(pairs, 0.0)
+        for c, pair in enumerate(pairs):
+            for p in range(len(folded)):
+                for k in range(4):
+                    gram = [folded[p - j] if p >= j else 32 for j in range(k + 1)]
+                    margin[pair] += float(model.weights[k, bucket(gram), c]) / len(folded)
+            margin[pair] += model.bias[c]
+
+        def choose(names):
+            if len(names) == 1:
+                return names[0], 1.0
+            votes, sure = dict.fromkeys(names, 0), dict.fromkeys(names, 0.0)
+            for (a, b), m in margin.items():
+                if a in votes and b in votes:
+                    p = 1 / (1 + np.exp(-min(max(4 * m, -60), 60)))
+                    votes[a if m >= 0 else b] += 1
+                    sure[a], sure[b] = sure[a] + p, sure[b] + 1 - p
+            best = max(names, key=lambda n: votes[n] + sure[n] / (len(names) + 1))
+            return best, sure[best] / (len(names) - 1)
+
+        family, score = choose(["family:a", "family:b", "family:c"])
+        lang, more = choose(model.families[family[7:]])
+        return lang, score * more
+
+    for t, lang, score in zip(raw, langs, scores, strict=True):
+        want = plain(t)
+        assert lang == want[0] and abs(score - want[1]) < 1e-6, t
+
+
 def test_held_out_quality_and_language(spark):
     import os
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline as cp
 from conftest import SMALL
 from llm.test_operators import brute_pii, classes_by_brute_force, odd_documents, shingle_bag, words
 
-from palimpsest.llm import common, quality_rules
+from palimpsest.llm import common
 
 
 def test_stages(spark):
@@ -28,8 +29,19 @@ def test_stages(spark):
                 covered = {k + j for k in range(len(w) - 2) if tri[tuple(w[k : k + 3])] > 1 for j in range(3)}
                 return len(w) < 50 or 100 * len(covered) > 50 * len(w)
 
-            depleted = {r.doc_id for r in quality_rules.quality_rules(docs).where("NOT base_failed AND NOT kept").collect()}
-            assert sorted(after) == sorted(r for r in before if not failed(r[1]) and r[0] not in depleted)
+            per_host = defaultdict(set)
+            for _, t, _, host, _ in before:
+                per_host[host].add(t or "")
+            norm = lambda line: " ".join(re.sub("[1-9]", "0", re.sub("[A-Z]", lambda m: m[0].lower(), w)) for w in words(line))
+            seen = Counter((host, x) for host, ts in per_host.items() for t in ts for x in {norm(y) for y in t.split("\n")} if x)
+            often = {(host, x) for (host, x), n in seen.items() if n >= 5 and n >= 0.01 * len(per_host[host])}
+            want = {}
+            for i, t, _, host, n in before:
+                lines = [x for x in (t or "").split("\n")]
+                left = "\n".join(x for x in lines if (host, norm(x)) not in often)
+                if not failed(t) and len(words(left)) >= max(50, 0.5 * len(words(t))):
+                    want[i] = (left, n if left == t else len(left))
+            assert {r[0]: (r[1], r[4]) for r in after} == want and len(after) == len(want)
         elif name == "near_dedup":
             classes = classes_by_brute_force([(r[0], r[1]) for r in before])
             assert sorted(after) == sorted(r for r in before if classes[r[0]] == r[0])
@@ -50,10 +62,23 @@ def test_stages(spark):
 
 
 def test_odd_rows_and_empty_tables(spark):
-    for docs in (odd_documents(spark), odd_documents(spark).limit(0)):
-        docs = docs.select(*cp.COLUMNS)
-        for _, stage in cp.STAGES:
-            docs = common.written(stage(spark, docs, SMALL), "odd")
+    empty = odd_documents(spark).limit(0)
+    for _, stage in cp.STAGES:
+        out = stage(spark, empty, SMALL)
+        assert out.count() == 0
+    odd = odd_documents(spark)
+    ids = lambda df: sorted((r.doc_id is None, r.doc_id or 0) for r in df.select("doc_id").collect())
+    docs, left = odd, {}
+    for name, stage in cp.STAGES:
+        docs = common.written(stage(spark, docs, SMALL), "odd")
+        left[name] = ids(docs)
+    texts = [(False, i) for i in range(6)]
+    assert left["quality_rules"] == [*texts, (False, 6), (False, 7), (True, 0)]  # short, empty and repetitive texts go
+    assert left["near_dedup"] == left["decontaminate"] == left["pii"] == left["packing"] == texts
+    alone = {name: ids(common.written(stage(spark, odd, SMALL), "odd")) for name, stage in cp.STAGES}
+    every = ids(odd)
+    assert alone["decontaminate"] == alone["pii"] == every and sorted(set(alone["packing"])) == sorted(set(every))
+    assert alone["near_dedup"] == [*texts, *[(False, i) for i in (8, 10, 11, 12, 13, 14, 15)]]
     for _, stage in cp.STAGES:
         stage(spark, odd_documents(spark), SMALL).count()
 
@@ -85,6 +110,13 @@ def test_near_dedup_keeps_one_row_of_each_class(spark):
     assert len({(None, own(1)), (None, near(1))} & set(got)) == 1
 
 
+def test_decontamination_goes_by_text(spark):
+    item = common.table(spark, SMALL, "benchmark").first().text
+    rows = [(None, f"aa {item} bb"), (1, f"aa {item} bb"), (1, "a clean text of the same id"), (None, "a clean text of no id"), (2, None), (3, item.upper())]
+    docs = spark.createDataFrame([(i, t, "en", None, 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert Counter((r.doc_id, r.text) for r in cp._decontaminate(spark, docs, SMALL).collect()) == Counter(rows[2:5])
+
+
 def test_masking_of_null_ids(spark):
     rows = [(None, "write to a@b.cd now"), (None, "or call +1 (212) 555-1234."), (None, "none"), (1, "x@y.zz"), (1, "or call +1 (212) 555-1234."), (None, None), (None, "write to a@b.cd now")]
     docs = spark.createDataFrame([(i, t, None, None, len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
