@@ -248,13 +248,12 @@ def style_tree(pages: DataFrame, strength: float = 20.0) -> DataFrame:
     held = rows.select("host", "page", "node").distinct().groupBy("host", "node").agg(F.count("*").cast("double").alias("m"))
     meta = seen.where("kind = 2").groupBy("host", "node").agg(F.first("chain").alias("chain"), F.first("mark").alias("mark"))
     ln = lambda x: F.log(F.col(x))
-    of = counted.join(held, ["host", "node"]).groupBy("host", "node").agg(
-        F.first("m").alias("m"),
-        F.sum(F.when(F.col("kind") == 0, F.col("c"))).alias("n"),
-        F.avg(F.when(F.col("kind") == 0, F.when(F.col("m") > 1, 1 - ln("c") / ln("m")).otherwise(1.0))).alias("own"),
-        F.count(F.when(F.col("kind") == 1, 1)).alias("styles"),
-        F.sum(F.when(F.col("kind") == 1, F.col("c"))).alias("s"), F.sum(F.when(F.col("kind") == 1, F.col("c") * ln("c"))).alias("w"),
-    )
+    text, style = F.col("kind") == 0, F.col("kind") == 1
+    of = counted.groupBy("host", "node").agg(  # before pages are joined: a node may have as many texts as its host has pages
+        F.sum(F.when(text, F.col("c"))).alias("n"), F.avg(F.when(text, ln("c"))).alias("shared"),
+        F.count(F.when(style, 1)).alias("styles"), F.sum(F.when(style, F.col("c"))).alias("s"), F.sum(F.when(style, F.col("c") * ln("c"))).alias("w"),
+    ).join(held, ["host", "node"])
+    of = of.withColumn("own", F.when(F.col("m") > 1, 1 - F.col("shared") / ln("m")).when(F.col("shared").isNotNull(), 1.0))
     entropy = F.when(F.col("styles") == 0, 0.0).when(F.col("m") > 1, F.least(F.lit(1.0), (ln("s") - F.col("w") / F.col("s")) / ln("m"))).otherwise(1.0)
     nodes = meta.join(of, ["host", "node"]).select(
         "host", "node", "chain", "mark", "m", "n", "own", entropy.alias("presentation"), F.pow(F.lit(GAMMA), F.greatest(F.col("styles") - 1, F.lit(0))).alias("g"),
