@@ -17,8 +17,9 @@ Members of different classes that meet on (centre, deviation) are compared pair
 they are few; where they are many they are a bucket of their own, which gets its own centre in
 the next round. The number that counts as few grows fourfold by round, so rounds are few.
 
-Keys that may be hot are salted: a centre's members by `salts` that keep about PER_KEY of them to a
-key, deviations likewise with counts made per salt before they meet.
+Keys that may be hot: a centre's members are dealt to `salts` that keep about PER_KEY of them to a
+key; counts per key are made before the shuffle and kept as tables, so that Spark can split the skewed
+joins with them.
 
 A text is known by its 64-bit hash throughout (n texts hold two of one hash with probability
 n^2 / 2^65); ids are only looked up at the end, so they may be null or stand on several texts.
@@ -33,17 +34,17 @@ empty table gives an empty result; columns other than id and text, whatever thei
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import bagminhash, common
 
 #: Rows that a salted key gets of a hot one, about; salts at most; members of a group compared pair by pair in the first round.
-PER_KEY, MOST_SALTS, FEW = 4096, 4096, 16
+PER_KEY, MOST_SALTS, FEW = 4096, 4096, 512
 
 
 def multisets(part_data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,57 +125,50 @@ def _salt(of: str, salts: int) -> Column:
     return F.pmod(F.xxhash64(of), F.lit(salts).cast("long"))
 
 
-def compared(pairs: DataFrame, texts: DataFrame, salts: int, deviations: bool = False) -> DataFrame:
-    """The pairs (a, b) with their exact similarity, sizes and deviations; a's text goes once to each of its salts."""
-    dealt = pairs.withColumn("salt", _salt("b", salts))
-    of_a = dealt.select("a", "salt").distinct().join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = dealt.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(of_a, ["a", "salt"])
+def compared(pairs: DataFrame, texts: DataFrame, salts: int = 1, deviations: bool = False) -> DataFrame:
+    """The pairs (a, b) with their exact similarity, sizes and deviations; a's text goes once to each of its salts, or to each pair."""
+    of_a, of_b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    if salts == 1:
+        both = pairs.join(of_b, "b").join(of_a, "a")
+    else:
+        dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts).cast("long")))
+        both = dealt.join(of_b, "b").join(dealt.select("a", "salt").distinct().join(of_a, "a"), ["a", "salt"])
     schema = "a long, b long, similarity double, n_a long, n_b long" + (", units array<long>" if deviations else "")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_compared(deviations), schema)
 
 
-def with_totals(rows: DataFrame, keys: list[str], salts: int, totals: dict[str, tuple[Column, Callable]]) -> DataFrame:
-    """The rows with aggregates of their key beside them: made per key and salt, merged per key, and joined per key and salt."""
-    salted = rows.withColumn("salt", _salt("x", salts))
-    parts = salted.groupBy(*keys, "salt").agg(*[column.alias(name) for name, (column, _) in totals.items()])
-    whole = parts.groupBy(*keys).agg(*[merged(name).alias(name) for name, (_, merged) in totals.items()])
-    return salted.join(parts.select(*keys, "salt").join(whole, keys), [*keys, "salt"]).drop("salt")
-
-
-def undecided(stars: DataFrame, classes: DataFrame, threshold: float, salts: int) -> DataFrame:
-    """(key, x, linked, class_id, n, d, m, members): members of different classes of one star that meet on a deviation and may be similar."""
+def undecided(stars: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(key, kind, x, linked, class_id, n, d, m, members): members of different classes of one star that meet on a deviation and may be similar."""
     q = (1 - threshold) / (1 + threshold)
-    member = stars.select(F.col("a").alias("centre"), F.col("b").alias("x"), F.col("n_b").alias("n"), (F.col("similarity") >= threshold).alias("linked"), "units")
-    member = member.join(classes.toDF("x", "class_id"), "x", "left").withColumn("class_id", F.coalesce("class_id", "x"))
-    member = member.withColumn("d", F.size("units")).withColumn("e", F.col("d") - F.col("n") * q)
-    least = {"low_apart": (F.min(F.when(~F.col("linked"), F.col("e"))), F.min), "low_linked": (F.min(F.when(F.col("linked"), F.col("e"))), F.min)}
-    member = with_totals(member, ["centre"], salts, least).where("low_apart IS NOT NULL")  # a star of linked members is one class
-    member = common.written(member, "members")
-    unit = member.select("centre", "x", F.explode("units").alias("unit"))
-    unit = with_totals(unit, ["centre", "unit"], salts, {"df": (F.count("*"), F.sum)}).where("df > 1")
-    ordered = unit.groupBy("centre", "x").agg(F.array_sort(F.collect_list(F.struct("df", "unit"))).alias("shared"))
+    linked = F.col("similarity") >= threshold
+    star = stars.select(F.col("a").alias("centre"), F.col("b").alias("x"), F.col("n_b").alias("n"), linked.alias("linked"), F.size("units").alias("d"), "units")
+    excess = F.col("d") - F.col("n") * q
+    lows = star.groupBy("centre").agg(F.min(F.when(~F.col("linked"), excess)).alias("low_apart"), F.min(F.when(F.col("linked"), excess)).alias("low_linked"))
+    lows = common.written(lows.where("low_apart IS NOT NULL"), "star-lows")  # a star of linked members is one class
+    unit = star.join(lows, "centre", "left_semi").select("centre", "x", F.explode("units").alias("unit"))
+    rarity = common.written(unit.groupBy("centre", "unit").agg(F.count("*").alias("df")).where("df > 1"), "rarity")
+    ordered = unit.join(rarity, ["centre", "unit"]).groupBy("centre", "x").agg(F.array_sort(F.collect_list(F.struct("df", "unit"))).alias("shared"))
+    member = star.drop("units").join(lows, "centre").join(classes.toDF("x", "class_id"), "x", "left").withColumn("class_id", F.coalesce("class_id", "x"))
     at_least = lambda t: F.greatest(F.lit(1), F.ceil(t - 1e-9)).cast("int")
     of_any = F.col("d") - F.col("n") * ((1 - threshold) / threshold)
-    known = ordered.join(member.drop("units"), ["centre", "x"]).withColumn("m", F.size("shared"))
-    with_apart = at_least(F.greatest(of_any, (F.col("e") + F.col("low_apart")) / 2))
-    with_linked = at_least(F.greatest(of_any, (F.col("e") + F.col("low_linked")) / 2))
-    known = known.select("centre", "x", "linked", "class_id", "n", "d", "m", "shared", "low_linked", with_apart.alias("with_apart"), with_linked.alias("with_linked"))
-    known = common.written(known, "deviations")
+    known = ordered.join(member, ["centre", "x"]).withColumn("m", F.size("shared"))
+    known = known.withColumn("with_apart", at_least(F.greatest(of_any, (excess + F.col("low_apart")) / 2))).withColumn("with_linked", at_least(F.greatest(of_any, (excess + F.col("low_linked")) / 2)))
+    known = common.written(known.where("m >= with_apart OR NOT linked AND m >= with_linked"), "deviations")
 
     def met(rows: DataFrame, t: str, kind: int) -> DataFrame:
         """Who meets whom: of kind 0 members that are apart, of kind 1 these and linked ones."""
         u = F.explode(F.expr(f"slice(shared, 1, greatest(m - {t} + 1, 0))")).alias("u")
-        return rows.select(u, "centre", F.lit(kind).alias("kind"), "x", "linked", "class_id", "n", "d", "m").withColumn("unit", F.col("u.unit")).drop("u")
+        rows = rows.select(u, "centre", "x", "linked", "class_id", "n", "d", "m")
+        return rows.select(F.xxhash64("centre", "u.unit", F.lit(kind)).alias("key"), F.lit(kind).alias("kind"), "x", "linked", "class_id", "n", "d", "m")
 
     apart, linked = known.where(~F.col("linked")), known.where("linked")
     rows = met(apart, "with_apart", 0).union(met(apart.where("low_linked IS NOT NULL"), "with_linked", 1)).union(met(linked, "with_apart", 1))
-    totals = {
-        "members": (F.count("*"), F.sum), "linked_members": (F.count(F.when(F.col("linked"), 1)), F.sum),
-        "low_class": (F.min("class_id"), F.min), "high_class": (F.max("class_id"), F.max),
-    }
-    rows = with_totals(rows, ["centre", "unit", "kind"], salts, totals).where("low_class <> high_class AND (kind = 0 OR linked_members > 0 AND linked_members < members)")
-    out = common.written(rows.select(F.xxhash64("centre", "unit", "kind").alias("key"), "kind", "x", "linked", "class_id", "n", "d", "m", "members"), "met")
-    for table in (member, known):
+    groups = rows.groupBy("key").agg(
+        F.count("*").alias("members"), F.count(F.when(F.col("linked"), 1)).alias("n_linked"), F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.max("kind").alias("of"),
+    )
+    groups = common.written(groups.where("low <> high AND (of = 0 OR n_linked > 0 AND n_linked < members)").select("key", "members"), "met-groups")
+    out = common.written(rows.join(groups, "key"), "met")
+    for table in (lows, rarity, known, groups):
         common.discard(table)
     return out
 
@@ -218,21 +212,22 @@ def linked_classes(buckets: DataFrame, texts: DataFrame, threshold: float) -> Da
         mates = common.written(buckets.groupBy("rep").agg(F.sum("members").alias("mates")), "mates")
         ranked = buckets.join(mates, "rep")
         centres = ranked.groupBy("key").agg(F.min(F.struct((-F.col("mates")).alias("mates"), "rep")).alias("c")).select("key", F.col("c.rep").alias("a"))
+        centres = common.written(centres, "centres")
         pairs = common.written(buckets.join(centres, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
-        salts = _salts(pairs.count())
+        salts = max(1, min(MOST_SALTS, -(-pairs.count() // PER_KEY)))
         stars = common.written(compared(pairs, texts, salts, deviations=True), "stars")
         labels = merged(labels, stars.where(linked).select("a", "b"))
-        met = undecided(stars, labels, threshold, salts)
-        close = common.written(fitting(met.where(F.col("members") <= few), threshold), "close-pairs")
-        more = common.written(compared(close, texts, _salts(close.count())).where(linked).select("a", "b"), "links")
+        met = undecided(stars, labels, threshold)
+        more = common.written(compared(fitting(met.where(F.col("members") <= few), threshold), texts).where(linked).select("a", "b"), "links")
         labels = merged(labels, more)
-        for table in (buckets, mates, centres, pairs, stars, close, more):
+        for table in (buckets, mates, centres, pairs, stars, more):
             common.discard(table)
-        buckets = common.written(met.where(F.col("members") > few).select("key", F.col("x").alias("rep"), "members"), "buckets")
-        common.discard(met)
+        buckets = met.where(F.col("members") > few)
         if not buckets.limit(1).count():
-            common.discard(buckets)
+            common.discard(met)
             return labels
+        buckets = common.written(buckets.select("key", F.col("x").alias("rep"), "members"), "buckets")
+        common.discard(met)
         few *= 4
 
 
@@ -264,7 +259,6 @@ def classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands
     shared = common.written(rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key"), "shared-keys")  # a table, so that a skewed join with it can be split
     step = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold) + 1e-9)  # a window holds two steps
     windows = rows.join(shared, "key").select(F.explode(F.array(step, step - 1)).alias("window"), "key", "rep").select(F.xxhash64("key", "window").alias("key"), "rep")
-    windows = common.written(windows, "windows")
     several = common.written(windows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "shared-windows")
     buckets = common.written(windows.join(several, "key"), "buckets")
     # one row holds each text: the join asks for its first id too, so a text of many copies sends one
@@ -274,7 +268,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands
     labels = linked_classes(buckets, held, threshold)
     own = distinct.select("text_key", "first_id").join(labels.toDF("text_key", "label"), "text_key", "left").select("text_key", "first_id", F.coalesce("label", "text_key").alias("label"))
     own = common.written(own, "own-classes")
-    for table in (distinct, shared, windows, several, held, labels):
+    for table in (distinct, shared, several, held, labels):
         common.discard(table)
     # a class of one text has its own first id; only classes of several texts are looked up by label
     several = own.groupBy("label").agg(F.min("first_id").alias("class_id"), F.count("*").alias("n")).where("n > 1").select("label", "class_id", F.lit(True).alias("several"))
