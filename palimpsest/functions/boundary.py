@@ -23,9 +23,10 @@ def registered(kind: str, name: str) -> Callable:
     return _REGISTRY[kind][name]
 
 
-def hashed_embedding(text: Column, width: int = 64, most: int = 512) -> Column:
-    """A unit vector of hashed words, at most `most` of them, by the same mean-pool and scale algebra a model would use."""
-    tokens = F.slice(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9_]+"), lambda t: t != ""), 1, most)
+def hashed_embedding(text: Column, width: int = 64, most: int | None = None) -> Column:
+    """A unit vector of hashed words (the first `most` of them, as a model with a token limit would read, or all), by the same mean-pool and scale algebra."""
+    tokens = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9_]+"), lambda t: t != "")
+    tokens = F.slice(tokens, 1, most) if most else tokens
     zero = F.array_repeat(F.lit(0.0), width)
 
     def add(v: Column, token: Column) -> Column:

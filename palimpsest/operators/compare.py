@@ -170,11 +170,12 @@ def binary_metrics(rows: DataFrame, label: str, predicted: str) -> DataFrame:
 def roc_auc(rows: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the ROC curve from counts by distinct score: ties count half.
 
-    Counts meet by score, range-partitioned; a running total over ranges replaces one global sort in
-    a single task.
+    Counts meet by score; a running total over at most 1026 ranges of equal width and one within each
+    range replace a global sort in a single task.
     """
     per = rows.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    placed = per.withColumn("bin", F.floor(F.col("s") * 1024))
+    ends = per.agg(F.min("s").cast("double").alias("lo"), F.max("s").cast("double").alias("hi"))
+    placed = per.join(F.broadcast(ends)).withColumn("bin", F.coalesce(F.width_bucket(F.col("s").cast("double"), "lo", "hi", F.lit(1024)), F.lit(0))).drop("lo", "hi")
     by_bin = placed.groupBy("bin").agg(F.sum("neg").alias("bin_neg"))
     below = by_bin.withColumn("below", F.coalesce(F.sum("bin_neg").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("bin", "below")
     inside = F.coalesce(F.sum("neg").over(Window.partitionBy("bin").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -126,13 +126,18 @@ def hashed_sample(rows: DataFrame, n: int, key: str) -> DataFrame:
 
 def split_of_prefix(rows: DataFrame, prefixes: DataFrame, key: str = "id") -> DataFrame:
     """rows with the split of the longest prefix of their key among prefixes(prefix, split); an equi-join on the key's own prefixes of the lengths that occur."""
-    lengths = [r[0] for r in prefixes.select(F.length("prefix")).distinct().orderBy(F.length("prefix")).limit(1000).collect()]
-    cut = F.filter(F.array(*[F.substring(F.col(key), 1, n) for n in lengths or [0]]), lambda p: p != "")
-    probed = rows.withColumn("prefix", F.explode_outer(F.array_distinct(cut)))
+    lengths = prefixes.agg(F.sort_array(F.collect_set(F.length("prefix"))).alias("lengths"))  # one row, as many as there are lengths
+    cut = F.transform(F.filter("lengths", lambda n: (n > 0) & (n <= F.length(key))), lambda n: F.substring(F.col(key), F.lit(1), n))
+    probed = rows.join(F.broadcast(lengths)).withColumn("prefix", F.explode(cut)).drop("lengths")
     found = probed.join(prefixes.dropDuplicates(["prefix"]), "prefix").groupBy(key).agg(F.max_by("split", F.length("prefix")).alias("split"))
     return rows.join(found, key, "left")
 
 
+def high_confidence(graded_pairs: DataFrame) -> DataFrame:
+    """The pairs whose quality label lets them into the knowledge base."""
+    return graded_pairs.where(F.col("label") == "high_confidence")
+
+
 def leaking(rows: DataFrame, text: str, split: str) -> DataFrame:
     """Texts that stand in more than one split."""
     return rows.groupBy(text).agg(F.countDistinct(split).alias("n_splits")).where("n_splits > 1")

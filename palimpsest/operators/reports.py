@@ -44,8 +44,17 @@ def changed_keys(original: Column, migrated: Column) -> Column:
 
 
 def without_null_words(value: Column) -> Column:
-    """JSON text whose strings "null" and "None" are nulls, at any depth."""
-    return F.regexp_replace(value, r'(?<=[\[,:{]|^)(\s*)"(?:null|None)"(?=\s*(?:[\],}]|$))', "$1null")
+    """JSON text whose string values "null" and "None" are nulls, at any depth; keys and longer strings stay as they are, whatever they quote."""
+    string = r'"(?:[^"\\]|\\.)*+"'
+    strings, between = F.regexp_extract_all(value, F.lit(string), 0), F.split(value, string, -1)
+
+    parts = F.transform(F.array(F.struct(strings.alias("strings"), between.alias("between"))), lambda s: F.array_join(F.transform(s["between"], lambda p, k: _filled_piece(s, p, k)), ""))
+    return parts[0]
+
+
+def _filled_piece(s: Column, piece: Column, k: Column) -> Column:
+    own, after = F.get(s["strings"], k), F.get(s["between"], k + 1)
+    return F.concat(piece, F.coalesce(F.when(own.isin('"null"', '"None"') & ~after.rlike(r"^\s*:"), "null").otherwise(own), F.lit("")))
 
 
 def evidence(plan: DataFrame, retrieved: DataFrame, compared: DataFrame, risks: DataFrame) -> DataFrame:
