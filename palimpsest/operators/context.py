@@ -9,6 +9,10 @@ from palimpsest.operators.parse import blocks_of
 from palimpsest.operators.plan import stem
 
 
+#: Letters of a stem by which tests and units meet.
+GRAM = 8
+
+
 def relations(units: DataFrame, edges: DataFrame, forward: bool = True) -> DataFrame:
     """(file, relations): for each unit its dependencies (or dependents) with edge details."""
     own, other = ("source", "target") if forward else ("target", "source")
@@ -25,16 +29,20 @@ def dependency_source(edges: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def inferred_tests(units: DataFrame, tests: DataFrame, found: DataFrame) -> DataFrame:
-    """(file, test) for units without related tests: test files whose path or source has the unit's stem, with or without underscores.
+    """(file, test) for units without related tests: test files whose path or source contains the unit's stem, with or without underscores.
 
-    Words of a test's path and source meet stems by equality, so no unit is compared with every test.
+    Tests and stems meet by equality on the stem's first GRAM letters (all of a shorter one), which a
+    containing text has somewhere, and are then verified; so no unit is compared with every test.
     """
     without = units.select("file").join(found.select("file"), "file", "left_anti").select("file", F.lower(stem(F.col("file"))).alias("s"))
-    keys = without.select("file", F.explode(F.array_distinct(F.array("s", F.replace("s", F.lit("_"), F.lit(""))))).alias("word")).where("word <> ''")
-    words = F.split(F.lower(F.concat_ws(" ", "path", "content")), r"[^a-z0-9_]+")
-    parts = F.array_distinct(F.concat(words, F.flatten(F.transform(words, lambda w: F.split(w, "_"))), F.transform(words, lambda w: F.regexp_replace(w, "^test_|_test$", ""))))
-    seen = tests.select(F.col("path").alias("test"), F.explode(parts).alias("word"))
-    return seen.join(keys, "word").where("file <> test").select("file", "test").distinct()
+    keys = without.select("file", F.explode(F.array_distinct(F.array("s", F.replace("s", F.lit("_"), F.lit(""))))).alias("stem")).where("stem <> ''")
+    keys = keys.withColumn("gram", F.substring("stem", 1, GRAM))
+    sizes = keys.agg(F.collect_set(F.length("gram")).alias("sizes"))  # at most GRAM of them
+    text = F.concat_ws("\n", F.lower("path"), F.lower("content"))
+    held = tests.select(F.col("path").alias("test"), text.alias("text")).join(F.broadcast(sizes))
+    grams = F.flatten(F.transform("sizes", lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1))), lambda i: F.substring(F.col("text"), i, n))))
+    seen = held.select("test", F.explode(F.array_distinct(grams)).alias("gram")).join(keys, "gram").where("file <> test").select("test", "file", "stem")
+    return seen.join(held.select("test", "text"), "test").where(F.contains("text", "stem")).select("file", "test").distinct()
 
 
 def contexts(units: DataFrame, edges: DataFrame, files: DataFrame, tests: DataFrame) -> DataFrame:
@@ -58,6 +66,14 @@ def safe_float(value: Column, default: float = 0.0) -> Column:
     return F.coalesce(value.cast("string").try_cast("double"), F.lit(default))
 
 
+def safe_number(value: Column) -> Column:
+    """The number in a JSON text, a boolean as 1 or 0; 0 for anything else."""
+    v = F.try_parse_json(value)
+    kind = F.schema_of_variant(v)
+    number = F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int").cast("double")).when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(v, "$", "double"))
+    return F.coalesce(number, F.lit(0.0))
+
+
 def version_label(language: Column, version: Column) -> Column:
     """"{language} {version}", unless the version already starts so."""
     v = F.trim(F.coalesce(version, F.lit("")))

@@ -65,6 +65,41 @@ def _rewritten(line: str) -> str:
     return re.sub(r"print\(>>\s*([\w.]+)\s*,\s*(.*)\)$", r"print(\2, file=\1)", line)
 
 
+#: Nodes that the grammar of Python 2.7 lacks.
+_ONLY_3 = (ast.AsyncFunctionDef, ast.AsyncFor, ast.AsyncWith, ast.Await, ast.JoinedStr, ast.Nonlocal, ast.AnnAssign, ast.YieldFrom, ast.NamedExpr, ast.MatMult, ast.Starred, ast.Match)
+
+
+def _clean_2(source: str) -> bool:
+    """Whether the 2.7 grammar would accept a source: it parses after line rewrites, and no node is of Python 3 alone."""
+    tree = parsed(source)
+    if tree is None:
+        return False
+    for x in ast.walk(tree):
+        if isinstance(x, _ONLY_3) and not (isinstance(x, ast.Starred) and isinstance(x.ctx, ast.Load)):
+            return False
+        if isinstance(x, _DEFS) and (x.returns or x.args.kwonlyargs or x.args.posonlyargs or any(a.annotation for a in ast.walk(x.args) if isinstance(a, ast.arg))):
+            return False
+        if isinstance(x, ast.Raise) and x.cause or isinstance(x, ast.ClassDef) and x.keywords:
+            return False
+    return True
+
+
+def _clean_3(source: str) -> bool:
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        try:
+            ast.parse(source)
+        except (SyntaxError, ValueError, RecursionError):
+            return False
+    return True
+
+
+@pandas_udf(T.StructType().add("two", T.BooleanType()).add("three", T.BooleanType()))
+def grammars(source: pd.Series) -> pd.DataFrame:
+    """Whether a source is clean under the grammar of Python 2.7 and of Python 3."""
+    return pd.DataFrame([(_clean_2(s or ""), _clean_3(s or "")) for s in source], columns=["two", "three"])
+
+
 _LOOPS = (ast.For, ast.AsyncFor, ast.While)
 _BLOCKS = (ast.If, *_LOOPS, ast.Try, ast.With, ast.AsyncWith)
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -192,6 +227,30 @@ def relevant_blocks(source: str | None, names: list[str], fallback: int = 8000)
     return "\n\n".join(out) if out else (source or "")[:fallback]
 
 
+def mined_functions(file: str, source: str | None) -> list[tuple]:
+    """(file, name, text) of module functions and of the methods of module classes, the last one of a name; none where Python 3 can't parse the file, whatever its version."""
+    found = {}
+    for owner, x in _module_level(source):
+        for d, name in [(x, "")] if not isinstance(x, ast.ClassDef) else [(c, f"{x.name}.") for c in x.body]:
+            if isinstance(d, _DEFS):
+                found[f"{name}{d.name}"] = ast.get_source_segment(owner, d)
+    return [(file, name, text) for name, text in found.items() if text]
+
+
+def mined_imports(file: str, source: str | None) -> list[tuple]:
+    """(file, position, text) of the imports at module level."""
+    texts = [ast.get_source_segment(owner, x) for owner, x in _module_level(source) if isinstance(x, (ast.Import, ast.ImportFrom))]
+    return [(file, k, text.strip()) for k, text in enumerate(texts) if text]
+
+
+def _module_level(source: str | None) -> list[tuple[str, ast.stmt]]:
+    if not _clean_3(source or ""):
+        return []
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return [(source or "", x) for x in ast.parse(source or "").body]
+
+
 def _table(files: DataFrame, rows_of, schema: str) -> DataFrame:
     names = [x.strip().split()[0] for x in re.split(r",(?![^<]*>)", schema)]
 
@@ -215,6 +274,26 @@ def context_symbols(files: DataFrame) -> DataFrame:
     return _table(files, symbol_rows, CONTEXT_SYMBOLS)
 
 
+def functions_to_mine(files: DataFrame) -> DataFrame:
+    return _table(files, mined_functions, "file string, name string, text string")
+
+
+def imports_to_mine(files: DataFrame) -> DataFrame:
+    return _table(files, mined_imports, "file string, position int, text string")
+
+
+def by_file(callables: DataFrame) -> DataFrame:
+    """(file, callables): the inventory of each file in the order of lines."""
+    return callables.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line", "qualified_name", "kind"))).alias("callables"))
+
+
+def test_symbols(symbols: DataFrame, skipped: DataFrame) -> DataFrame:
+    """Functions of test files that the plan doesn't skip."""
+    name = F.replace("file", F.lit("\\"), F.lit("/"))
+    tests = symbols.where((F.col("type") == "function") & (name.startswith("test") | F.contains(name, F.lit("/tests/"))))
+    return tests.join(skipped.select("file"), "file", "left_anti")
+
+
 def effective_parameters(kind: Column, parameters: Column) -> Column:
     """Parameters without a leading self or cls where the kind binds one."""
     bound = kind.isin("instance_method", "classmethod", "constructor") & F.element_at(F.concat(parameters, F.array(F.lit(""))), 1).isin("self", "cls")

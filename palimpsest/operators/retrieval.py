@@ -208,6 +208,33 @@ def fenced_code(reply: Column) -> Column:
     return F.trim(F.coalesce(F.nullif(named, F.lit("")), F.nullif(plain, F.lit("")), reply))
 
 
+def fenced_code_exact(reply: Column) -> Column:
+    """The second client's reading: a fence named in lower case, else the text between the first two fences, else all; each trimmed."""
+    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    text = trim(F.coalesce(reply, F.lit("")))
+    named, pieces = F.regexp_extract_all(text, F.lit(r"(?s)```python(.*?)```"), 1), F.split(text, "```")
+    return F.when(F.size(named) > 0, trim(F.get(named, F.lit(0)))).when(F.size(pieces) >= 3, trim(F.regexp_replace(F.get(pieces, F.lit(1)), "^python", ""))).otherwise(text)
+
+
+def ranked_examples(examples: DataFrame, by: str, order: str) -> DataFrame:
+    """Examples with their rank: those of the primary source first, then by final score and similarity; equal ones in their order."""
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    primary = F.coalesce((F.lower("retrieval_source") == "primary").cast("int"), F.lit(0))
+    w = Window.partitionBy(by).orderBy(primary.desc(), number("final_score").desc(), number("similarity").desc(), order)
+    return examples.withColumn("rank", F.row_number().over(w))
+
+
+def retrieval_counts(results: DataFrame) -> DataFrame:
+    """Queries made, and those that gave a result."""
+    return results.agg(F.count("*").alias("n_queries"), F.count_if(F.col("retrieval").isNotNull()).alias("n_successful"))
+
+
+def with_source(results: DataFrame, files: DataFrame) -> DataFrame:
+    """Each model result beside the source text of its file; empty where the repository has none."""
+    text = files.select(F.col("path").alias("file"), F.col("content").alias("source_code"))
+    return results.join(text, "file", "left").fillna("", ["source_code"])
+
+
 def explanation(reply: Column) -> Column:
     """The text between fences: every other piece, trimmed and joined by lines; empty without a whole fence."""
     pieces = F.split(reply, "```")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import rules
+from palimpsest.operators.parse import grammars
 from palimpsest.functions.paths import classified, excluded
 
 CATEGORIES = ("code", "config", "non_code", "unknown")
@@ -44,6 +45,19 @@ def version_signals(files: DataFrame, content: str = "content") -> DataFrame:
     return out.withColumn("signals", F.when(F.col("version").isNotNull(), F.concat("_two", "_three"))).drop("_two", "_three")
 
 
+def grammar_version(files: DataFrame, content: str = "content") -> DataFrame:
+    """files with version, confidence, method and signals: the grammars decide where exactly one of them accepts a source, else the rule tables do."""
+    two, three = F.col("_clean.two"), F.col("_clean.three")
+    out = version_signals(files, content).withColumn("_clean", grammars(content))
+    sure, told = F.col("version").isNotNull() & (two != three), F.when(three, "3").otherwise("2")
+    rules_method = F.when(F.col("version").isNotNull(), "regex_heuristic_after_inconclusive_parso")
+    return out.withColumns({
+        "signals": F.when(sure, F.array(F.concat(F.lit("parses cleanly as Python "), told, F.lit(" only")))).otherwise(F.col("signals")),
+        "version_confidence": F.when(sure, "high").otherwise(F.col("version_confidence")), "method": F.when(sure, "parso_grammar").otherwise(rules_method),
+        "version": F.when(sure, told).otherwise(F.col("version")),
+    }).drop("_clean")
+
+
 def version_vote(content: Column) -> Column:
     """The verdict of the vote between the two vote tables."""
     two, three = rules.votes(content, rules.PY2_VOTES), rules.votes(content, rules.PY3_VOTES)

@@ -68,12 +68,36 @@ def hashed_embeddings(spark, d):
     return corpus.files(spark, d).select("doc_id", boundary.hashed_embedding(F.col("content")).alias("embedding"))
 
 
-@query()
+_MIGRATED = [
+    (0, "import os\nfrom pkg{hg}.m{half} import helper{half}\n\ndef helper{id}(items):\n    for i in range(len(items)):\n        print(items[i])\n    return helper{half}(items)\n"),
+    (1, "import urllib.request\nimport pkg{hg}.m{half}\n\nclass Loader{id}(Base{half}):\n    def fetch(self, url):\n        return urllib.request.urlopen(url).read()\n\nclass Base{id}(object):\n    pass\n\ndef helper{id}(x):\n    return x\n"),
+    (2, "from pkg{hg}.m{half} import helper{half} as up\nimport json\n\ndef helper{id}(data):\n    if 'a' in data:\n        raise ValueError('bad')\n    for k, v in data.items():\n        up(v)\n    return json.dumps(data)\n\nclass Base{id}(object):\n    pass\n"),
+    (3, corpus.TEMPLATES[3][1]),
+    (4, "import unittest\nfrom pkg{hg}.m{half} import helper{half}\n\nclass Test{id}(unittest.TestCase):\n    def test_it(self):\n        self.assertEqual(helper{half}([1]), 1)\n"),
+    (5, "from pkg{hg}.m{half} import (\n    helper{half},\n    Base{half},\n)\n\ndef helper{id}(text):\n    try:\n        name = input('name')\n    except IOError as e:\n        print('failed', e)\n    return isinstance(text, str) and helper{half}(u'x')\n"),
+    (6, corpus.TEMPLATES[6][1]),
+    (11, "import ConfigParser\nimport cPickle\nfrom cStringIO import StringIO\n\ndef helper{id}(n):\n    total = int(0)\n    while n != 0:\n        total += n\n        n -= 1\n    return helper{half}(total)\n"),
+]
+
+
+@query(corpus.by_template(["migrated", "success"], [(*r, True) for r in _MIGRATED], path_as=None))
 def rule_migration(spark, d):
     units = corpus.files(spark, d).where(F.col("path").endswith(".py")).select("doc_id", F.col("content").alias("source"))
     return boundary.migrate(units).select("doc_id", "migrated", "success")
 
 
-@query()
+_CONSTRUCTED = [
+    (0, "Box.__init__", "constructor", "self,size,unit{id}"), (0, "Box.area", "instance_method", "self,size,unit{id}"), (0, "Plain.run", "instance_method", None), (0, "free", "function", None),
+    (1, "Late.__init__", "constructor", "self,second{half}"), (1, "Late.__init__", "constructor", "self,second{half}"), (1, "Late.go", "staticmethod", "self,second{half}"),
+]
+_CLASSES = [
+    "class Box(object):\n    def __init__(self, size, unit{id}):\n        pass\n    def area(self):\n        return 1\n\nclass Plain:\n    def run(self):\n        pass\n\ndef free(x):\n    return x\n",
+    "class Late:\n    def __init__(self, first):\n        pass\n    def __init__(self, second{half}):\n        pass\n    @staticmethod\n    def go(x):\n        print x\n",
+]
+
+
+@query(corpus.by_template(["qualified_name", "kind", "constructor"], _CONSTRUCTED))
 def constructor_join(spark, d):
-    return X.with_constructors(P.callables(corpus.files(spark, d).where(F.col("path").endswith(".py")))).select("file", "qualified_name", "kind", F.array_join("constructor_parameters", ",").alias("constructor"))
+    k = len(corpus.TEMPLATES)
+    files = corpus.files(spark, d).where(F.col("doc_id") % k < 2).withColumn("content", corpus.filled(F.when(F.col("doc_id") % k == 0, _CLASSES[0]).otherwise(_CLASSES[1]), F.col("doc_id")))
+    return X.with_constructors(P.callables(files)).select("file", "qualified_name", "kind", F.array_join("constructor_parameters", ",").alias("constructor"))

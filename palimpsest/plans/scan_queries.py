@@ -140,7 +140,21 @@ def quality_markers(spark, d):
     return m.select("doc_id", *[F.array_join(c, " ").alias(c) for c in ("markers_in_original", "markers_remaining", "six_in_original")])
 
 
-@query()
+#: (original parses, migrated parses, ratio of matching blocks, label) of each pair of the corpus.
+_GRADES = [
+    (True, True, 0.963, "high_confidence"), (True, True, 0.989, "high_confidence"), (True, True, 0.758, "high_confidence"), (True, True, 0.92, "high_confidence"),
+    (True, True, 0.864, "needs_review"), (True, True, 0.988, "high_confidence"), (False, True, 0.933, "high_confidence"), (True, True, 0.938, "high_confidence"),
+    (True, True, 0.877, "needs_review"), (True, True, 1.0, "likely_noise"), (True, True, 0.912, "high_confidence"), (True, True, 0.811, "needs_review"),
+]
+_GRADED = corpus.by_template(["original_parses", "migrated_parses", "similarity_ratio", "label"], [(k, *g) for k, g in enumerate(_GRADES)], path_as=None)
+
+
+@query(f"SELECT doc_id FROM ({_GRADED}) WHERE label = 'high_confidence'")
+def high_confidence(spark, d):
+    return P.high_confidence(P.graded(corpus.pairs(spark, d))).select("doc_id")
+
+
+@query(_GRADED.replace("v.similarity_ratio", "CAST(v.similarity_ratio AS DOUBLE) AS similarity_ratio"))
 def quality_label(spark, d):
     return P.graded(corpus.pairs(spark, d)).select("doc_id", "original_parses", "migrated_parses", "similarity_ratio", "label")
 

@@ -39,7 +39,7 @@ PAIRS: list[tuple[str, str]] = [
 ]
 
 
-def _filled(template: Column, doc: Column) -> Column:
+def filled(template: Column, doc: Column) -> Column:
     half = F.expr("doc_id div 2")
     for mark, value in (("{id}", doc), ("{half}", half), ("{g}", F.pmod(doc, F.lit(5))), ("{hg}", F.pmod(half, F.lit(5)))):
         template = F.replace(template, F.lit(mark), value.cast("string"))
@@ -54,7 +54,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, repo, path, content, size_bytes: one file for each document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("source").alias("repo"))
     doc = F.col("doc_id")
-    out = docs.withColumn("path", _filled(_chosen([p for p, _ in TEMPLATES]), doc)).withColumn("content", _filled(_chosen([c for _, c in TEMPLATES]), doc))
+    out = docs.withColumn("path", filled(_chosen([p for p, _ in TEMPLATES]), doc)).withColumn("content", filled(_chosen([c for _, c in TEMPLATES]), doc))
     return out.withColumn("size_bytes", F.octet_length("content").cast("long"))
 
 
@@ -80,6 +80,14 @@ def _sql_filled(x: str) -> str:
     return x
 
 
+def by_template(columns: list[str], rows: list[tuple], path_as: str | None = "file") -> str:
+    """SQL of rows that every file of a template has: (template, values...), texts with the templates' marks."""
+    values = ", ".join("(" + ", ".join("NULL" if x is None else _literal(x) if isinstance(x, str) else str(x).lower() for x in r) + ")" for r in rows)
+    filled = [f"{_sql_filled(f'v.{c}')} AS {c}" if any(isinstance(r[k + 1], str) for r in rows) else f"v.{c}" for k, c in enumerate(columns)]
+    first = f"{_sql_filled(_sql_chosen([p for p, _ in TEMPLATES]))} AS {path_as}" if path_as else "doc_id"
+    return f"SELECT {first}, {', '.join(filled)} FROM documents JOIN (VALUES {values}) v(template, {', '.join(columns)}) ON doc_id % {len(TEMPLATES)} = v.template"
+
+
 FILES_SQL = (
     f"files AS (SELECT *, CAST(octet_length(encode(content)) AS BIGINT) AS size_bytes FROM (SELECT doc_id, source AS repo, {_sql_filled(_sql_chosen([p for p, _ in TEMPLATES]))} AS path, "
     f"{_sql_filled(_sql_chosen([c for _, c in TEMPLATES]))} AS content FROM documents))"

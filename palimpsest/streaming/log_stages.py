@@ -125,6 +125,12 @@ def failure_lines(lines: DataFrame, job: str, order: tuple[str, ...], text: str,
     return last.groupBy(job).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("from_end")).alias("k"), F.col(text).alias("t")))), lambda x: x["t"]), " | ").alias("failures"))
 
 
+def first_number(lines: DataFrame, job: str, order: str, text: str, pattern: str) -> DataFrame:
+    """(job, number): the first group of the job's first line that matches, as a number; null where the group is none."""
+    hits = lines.where(F.col(text).rlike(pattern)).groupBy(job).agg(F.min_by(text, order).alias("line"))
+    return hits.select(job, F.regexp_extract("line", pattern, 1).try_cast("double").alias("number"))
+
+
 def stage_counts(states: DataFrame, by: str, state: str) -> DataFrame:
     c = F.col(state)
     kinds = ("completed", "running", "failed", "pending", "not_completed")

@@ -285,3 +285,73 @@ def test_reports(spark):
     assert one(spark, Z.percent(F.lit(1), F.lit(3))) == "33.3%" and one(spark, Z.title(F.lit("risk_analysis x"))) == "Risk Analysis X"
     e = Z.evidence(spark.createDataFrame([("a", ["xrange"])], "file string, reasons array<string>"), f.where("file = 'z'"), results, spark.createDataFrame([("a", "LOW")], "file string, risk string"))
     assert e.first().evidence == ["issues: xrange", "cases equal: 1/1", "risk: low"]
+
+
+def test_recorded_runs(spark):
+    from palimpsest.operators import execution as E
+
+    jobs = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "name string, n int")
+
+    def runner(job):
+        if job["name"] == "c":
+            raise RuntimeError("no interpreter")
+        return job["n"] - 1, f"ran {job['name']}", "", job["name"] == "b"
+
+    got = {r.name: (r.n, r.return_code, r.stdout, r.stderr, r.timed_out) for r in E.recorded(jobs, runner).collect()}
+    assert got == {"a": (1, 0, "ran a", "", False), "b": (2, 1, "ran b", "", True), "c": (3, 1, "", "RuntimeError: no interpreter", False)}
+    assert E.recorded(jobs.limit(0), runner).count() == 0
+
+
+def test_tagged_values():
+    from palimpsest.operators.execution import tagged
+
+    class Box:
+        def __init__(self):
+            self.size, self.me = 3, self
+
+    ring = [1]
+    ring.append(ring)
+    assert tagged(ring) == [1, {"__type__": "list", "__recursive__": True}]
+    assert tagged(Box()) == {"__type__": "Box", "attributes": {"__type__": "dict", "items": [["me", {"__type__": "Box", "__recursive__": True}], ["size", 3]]}}
+    shared = [2]
+    assert tagged([shared, shared]) == [[2], [2]]  # seen twice, but not within itself
+    assert tagged({"b", "a"}) == {"__type__": "set", "items": ["a", "b"]} and tagged(bytearray(b"\xff")) == {"__type__": "bytearray"} and tagged(bytearray(b"k")) == {"__type__": "bytearray", "value": "k"}
+    assert tagged(3 + 2j) == {"__type__": "complex"}
+
+
+def test_null_words_within_quotes(spark):
+    from palimpsest.operators import reports as Z
+    from pyspark.sql import functions as F
+
+    text = r'{"null": "None", "said": "he wrote \"null\", \"None\" there", "x": [ "null" , "nulls", null], "y": {"None" : "None"}}'
+    want = r'{"null": null, "said": "he wrote \"null\", \"None\" there", "x": [ null , "nulls", null], "y": {"None" : null}}'
+    rows = spark.createDataFrame([(text,), ('"null"',), (None,), ("",)], "t string").select(Z.without_null_words(F.col("t")).alias("t")).collect()
+    assert [r.t for r in rows] == [want, "null", None, ""]
+
+
+def test_grammars_of_two_versions(spark):
+    from palimpsest.operators import parse as P
+    from pyspark.sql import functions as F
+
+    sources = ["print 'x'\n", "print('x')\n", "def f(a: int): pass\n", "x = f'{1}'\n", "exec 'a'\n", "class A(B, metaclass=C): pass\n", "raise E from x\n", "a, *b = c\n", "f(*c)\n", "(((", "x = 0777\n", ""]
+    got = [tuple(r.g) for r in spark.createDataFrame(list(enumerate(sources)), "i int, s string").select("i", P.grammars("s").alias("g")).orderBy("i").collect()]
+    assert got == [(True, False), (True, True), (False, True), (False, True), (True, False), (False, True), (False, True), (False, True), (True, True), (False, False), (True, False), (True, True)]
+
+
+def test_many_prefix_lengths(spark):
+    from palimpsest.operators import pairs as P
+
+    prefixes = spark.createDataFrame([("a" * n, f"s{n}") for n in range(1, 1300)], "prefix string, split string")
+    rows = spark.createDataFrame([("a" * 1250 + "b",), ("a",), ("b",), (None,)], "id string")
+    got = {(r.id or "")[:1] + str(len(r.id or "")): r.split for r in P.split_of_prefix(rows, prefixes).collect()}
+    assert got == {"a1251": "s1250", "a1": "s1", "b1": None, "0": None}
+
+
+def test_auc_of_wide_scores(spark):
+    from palimpsest.operators import compare as C
+
+    rows = [(k % 2, float((k * 37) % 101) * 1e6 - 5e7) for k in range(400)]
+    wins = sum((p > n) + 0.5 * (p == n) for a, p in rows if a for b, n in rows if not b)
+    got = C.roc_auc(spark.createDataFrame(rows, "y int, s double"), "y", "s").first().roc_auc
+    assert abs(got - wins / 200 / 200) < 1e-12
+    assert C.roc_auc(spark.createDataFrame([(1, 0.5), (0, 0.5)], "y int, s double"), "y", "s").first().roc_auc == 0.5
