@@ -148,7 +148,7 @@ def contaminated(
 
     def searched(rows):
         held = spark.sparkContext.broadcast(ItemBlock(rows, hashes))
-        return texts.mapInArrow(_search(held, threshold), SCHEMA)
+        return texts.mapInArrow(common.lean(_search(held, threshold)), SCHEMA)
 
     for r in items.toLocalIterator():
         if block and (len(block) == block_items or size + len(r.t) > block_bytes):

@@ -130,7 +130,7 @@ def compared(pairs: DataFrame, texts: DataFrame, salts: int = 1, deviations: boo
         dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts).cast("long")))
         both = dealt.join(of_b, "b").join(dealt.select("a", "salt").distinct().join(of_a, "a"), ["a", "salt"])
     schema = "a long, b long, similarity double, n_a long, n_b long" + (", units array<long>" if deviations else "")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_compared(deviations), schema)
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(common.lean(_compared(deviations)), schema)
 
 
 def undecided(stars: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -248,7 +248,7 @@ def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, band_rows: int) -> DataFrame:
     """(id, text_key, label, class_id) of each row; a class has one label, and rows of one text_key (xxhash64 of the text) one class."""
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"))
-    signed = common.written(plain.mapInArrow(_sign(bands * band_rows, bands), "id long, text_key long, n long, bands array<long>"), "signed")
+    signed = common.written(plain.mapInArrow(common.lean(_sign(bands * band_rows, bands)), "id long, text_key long, n long, bands array<long>"), "signed")
     distinct = common.written(signed.groupBy("text_key").agg(F.min("id").alias("first_id"), F.first("bands").alias("bands"), F.first("n").alias("n")), "distinct")
 
     rows = distinct.select(F.explode("bands").alias("key"), F.col("text_key").alias("rep"), "n")

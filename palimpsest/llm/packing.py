@@ -39,6 +39,8 @@ from palimpsest.llm import common
 
 #: Atoms kept by a worker; beyond it the store starts anew (results don't depend on it).
 KEPT_ATOMS = 700_000
+#: Atoms that the tokenizer encodes in one call; its encodings take far more memory than their ids.
+ENCODED_AT_ONCE = 16_384
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _CLASS = np.zeros(256, dtype=np.uint8)
@@ -67,13 +69,20 @@ class Atoms:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[int, int] = {}
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # the atoms' hashes in order, and where each stands in starts
         self.flat, self.starts, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 15, np.int64), 0
 
-    def _store(self, hashes: list[int], texts: list[str]) -> None:
+    def place(self, hashes: np.ndarray) -> np.ndarray:
+        """Where each hash's atom stands in starts, -1 for unknown ones."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, self.places[at], -1).astype(np.int64)
+
+    def _store(self, hashes: np.ndarray, texts: list[str]) -> None:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         ends = np.cumsum([len(x) for x in ids])
-        n, size = len(self.at), int(ends[-1])
+        n, size = len(self.keys), int(ends[-1])
         while self.used + size > len(self.flat):
             self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
         while n + len(ends) + 1 > len(self.starts):
@@ -81,7 +90,9 @@ class Atoms:
         self.flat[self.used : self.used + size] = np.fromiter(chain.from_iterable(ids), np.uint32, size)
         self.starts[n + 1 : n + len(ends) + 1] = self.used + ends
         self.used += size
-        self.at.update(zip(hashes, range(n, n + len(ends)), strict=True))
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.keys, hashes[order])
+        self.keys, self.places = np.insert(self.keys, at, hashes[order]), np.insert(self.places, at, n + order)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows end to end, each row closed by id 0, and the rows' offsets."""
@@ -100,15 +111,16 @@ class Atoms:
         inverse, distinct = pd.factorize(hashes)
         first = np.zeros(len(distinct), np.int64)
         first[inverse[::-1]] = np.arange(len(hashes))[::-1]
-        if len(self.at) > KEPT_ATOMS:
+        if len(self.keys) > KEPT_ATOMS:
             self.clear()
-        known = distinct.tolist()
-        place = np.array([self.at.get(h, -1) for h in known], dtype=np.int64)
+        place = self.place(distinct)
         missing = np.flatnonzero(place < 0)
         if len(missing):
-            raw, new = folded.tobytes(), len(self.at)
-            begin, end = starts[first[missing]].tolist(), ends[first[missing]].tolist()
-            self._store(distinct[missing].tolist(), [raw[a:b].decode("utf-8") for a, b in zip(begin, end, strict=True)])
+            raw, new = folded.tobytes(), len(self.keys)
+            for k in range(0, len(missing), ENCODED_AT_ONCE):
+                some = missing[k : k + ENCODED_AT_ONCE]
+                begin, end = starts[first[some]].tolist(), ends[first[some]].tolist()
+                self._store(distinct[some], [raw[a:b].decode("utf-8") for a, b in zip(begin, end, strict=True)])
             place[missing] = np.arange(new, new + len(missing))
         begin = self.starts[place][inverse]
         length = self.starts[place + 1][inverse] - begin
@@ -326,7 +338,7 @@ def pack(
 ) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    cut = plain.mapInArrow(_pieces(tokenizer or default_tokenizer(), capacity), "id long, piece int, start long, length long, ids_crc32 long, row long")
+    cut = plain.mapInArrow(common.lean(_pieces(tokenizer or default_tokenizer(), capacity)), "id long, piece int, start long, length long, ids_crc32 long, row long")
     cut = common.written(cut, "pieces")
     groups = max(1, -(-cut.count() // group_pieces))
     dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)))

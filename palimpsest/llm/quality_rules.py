@@ -129,7 +129,7 @@ def _joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), _host(host_col).alias("host"), F.col(text_col).alias("text"), _text_key(text_col).alias("text_key")).mapInArrow(_features, FEATURES)
+    return docs.select(F.col(id_col).cast("long").alias("id"), _host(host_col).alias("host"), F.col(text_col).alias("text"), _text_key(text_col).alias("text_key")).mapInArrow(common.lean(_features), FEATURES)
 
 
 def frequent_lines(feats: DataFrame, min_docs: int, max_share: float, count: str = "texts") -> DataFrame:
@@ -224,7 +224,7 @@ def cleaned(
     rows = _joined(rows, told, "left").where("kept IS NULL OR kept")
     inner = [F.col("doc")[c].alias({text_col: "text", chars_col: "n_chars"}.get(c, c)) for c in docs.columns]
     out = rows.select(*inner, "removed_lines")
-    return out.mapInArrow(_without_lines, out.drop("removed_lines").schema).toDF(*docs.columns)
+    return out.mapInArrow(common.lean(_without_lines), out.drop("removed_lines").schema).toDF(*docs.columns)
 
 
 ORACLE = """

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +20,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import bagminhash, common, decontaminate, html_text, language, near_dedup, packing, pii, quality_net, quality_rules, queries, sharding, warc
 
+ROOT = Path(__file__).parents[2]
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns that the operators use inside, with other types, on top of the documents' own.
 EXTRA = "id string, host string, text_key string, a string, b string, n string, score string, held_out string, bucket string, line string, spans string, kept string, arc string, label string, y string, class_id string"
@@ -301,6 +307,43 @@ def test_atoms_equal_the_tokenizer():
             assert ids[bounds[i] : bounds[i + 1]].tolist() == [*store.tokenizer.encode(t, add_special_tokens=False).ids, 0], repr(t)
 
 
+_ATOMS = """
+import gc, re, resource
+import numpy as np
+from palimpsest.llm import common, packing
+store = packing.Atoms(packing.default_tokenizer())
+held = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+text = np.frombuffer(" ".join(f"{i * 2654435761 % 4294967296:x}".translate(str.maketrans("0123456789", "ghijklmnop")) for i in range(300_000)).encode(), np.uint8)
+store.encode(text[:0], np.zeros(1, np.int64))
+list(common.lean(lambda batches: batches)(iter(())))
+gc.collect()
+began, high = held(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+store.encode(text, np.array([0, len(text)]))
+list(common.lean(lambda batches: batches)(iter(())))
+print(len(store.starts), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024 - high, held() - began)
+"""
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/status"), reason="reads /proc")
+def test_a_worker_keeps_little_of_many_atoms():
+    """MB that 300 000 new atoms take at most and afterwards; an executor's JVM stands beside two such workers."""
+    out = subprocess.run([sys.executable, "-c", _ATOMS], capture_output=True, text=True, check=True, cwd=ROOT, timeout=300).stdout.split()
+    assert int(out[0]) > 300_000
+    assert float(out[1]) < 250
+    assert float(out[2]) < 60
+
+
+def test_lean_gives_back_after_every_end():
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b", "c"])], names=["text"])
+    common._power_table(10)
+    assert list(common.lean(lambda batches: batches)(iter([batch]))) == [batch] and not common._powers
+    common._power_table(10)
+    cut_off = common.lean(lambda batches: batches)(iter([batch, batch]))
+    next(cut_off)
+    cut_off.close()
+    assert not common._powers
+
+
 def test_packing(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
     extra = spark.createDataFrame([(10**6, "a <|endoftext|> b"), (10**6 + 1, "x y " * 5000)], "doc_id long, text string")
